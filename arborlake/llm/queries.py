@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm import bpe, unitext
+from arborlake.llm import bpe, leaks, pii, unitext
 from arborlake.session import table
 
 NAMES = ["scientific_name", "canonical_name"]
@@ -24,5 +24,21 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_names, p8_ids)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    given = pii.given_names(pii.reveal(docs, "text"))
+    return pii.detect(docs, "doc_id", "text", given).select("doc_id", "kind", "start_pos")
+
+
+def p10_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with typed placeholders."""
+    docs = table(spark, d, "documents")
+    return pii.masked(docs, "doc_id", "text", pii.given_names(pii.reveal(docs, "text")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_names, p8_ids, p9_found, p10_found, p10_text)}
 ORACLE: dict[str, str] = {}

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -50,7 +51,7 @@ def invisible(ch: str) -> bool:
 
 @lru_cache(maxsize=1)
 def tables() -> tuple[re.Pattern, frozenset[str]]:
-    """Pattern of an unstable run with its boundary, and the characters whose quick check says no."""
+    """Pattern of an unstable run, and the characters whose quick check says no."""
     no, maybe = [], set()
     for o in range(0x80, sys.maxunicode + 1):
         if 0xD800 <= o <= 0xDFFF or 0x4E00 <= o <= 0x9FFF or 0x20000 <= o <= 0x2F7FF or o >= 0x30000 and o < 0xE0000:
@@ -67,10 +68,27 @@ def tables() -> tuple[re.Pattern, frozenset[str]]:
             no.append(o)
     no += [*range(0x20), 0x7F, *range(0x80, 0xA0)]
     unstable = _class(sorted(maybe | set(no)))
-    return re.compile(f"(?:(?!{unstable}).)?{unstable}+", re.S), frozenset(map(chr, no))
+    return re.compile(f"{unstable}+"), frozenset(map(chr, no))
+
+
+def segments(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the unstable segments: each run with the stable character before it, on which its marks may sit."""
+    for m in tables()[0].finditer(text):
+        yield max(0, m.start() - 1), m.end()
+
+
+def splice(text: str, change: Callable[[str], str]) -> str:
+    """The text with its unstable segments changed and all the rest as it is."""
+    out, last = [], 0
+    for start, end in segments(text):
+        start = max(start, last)
+        out += [text[last:start], change(text[start:end])]
+        last = end
+    return "".join(out) + text[last:] if out else text
 
 
 _WORD = re.compile(r"[^\W\d_]+")
+_OTHER = re.compile("[\u0370-\u03ff\u0400-\u052f\u1f00-\u1fff]")
 
 
 def _script(ch: str) -> str:
@@ -80,10 +98,10 @@ def _script(ch: str) -> str:
 
 def _settle(text: str) -> str:
     """Letters that only look Latin become Latin, or the other way round in a word that is truly of another script."""
-    words = [(m.start(), m.group()) for m in _WORD.finditer(text)]
-    kinds = [{_script(c) for c in w} for _, w in words]
-    if not any(k & {"GREEK", "CYRILLIC"} for k in kinds):
+    if not _OTHER.search(text):
         return text
+    words = [(m.start(), m.group()) for m in _WORD.finditer(text)]
+    kinds = [{"LATIN"} if w.isascii() else {_script(c) for c in w} for _, w in words]
     # A word is truly of a script if it has a letter of it that no Latin letter looks like.
     true = [{_script(c) for c in w if c not in LOOKS} - {"LATIN", "OTHER"} for _, w in words]
     out, last = [], 0
@@ -103,8 +121,8 @@ def _settle(text: str) -> str:
     return "".join(out) + text[last:]
 
 
-def _run(m: re.Match) -> str:
-    s = "".join(MARKS.get(c, c) for c in m.group() if not invisible(c) or c in "\t\n\r")
+def _run(segment: str) -> str:
+    s = "".join(MARKS.get(c, c) for c in segment if not invisible(c) or c in "\t\n\r")
     s = unicodedata.normalize("NFKC", s)
     return "".join(" " if c == "\t" or unicodedata.category(c) in ("Zs", "Zl", "Zp") else c for c in s)
 
@@ -114,7 +132,7 @@ def canonical(text: str | None, blanks: bool = True) -> str | None:
     if text is None:
         return None
     if not text.isascii() or not text.isprintable():
-        text = _settle(tables()[0].sub(_run, text))
+        text = _settle(splice(text, _run))
     return " ".join(text.split()) if blanks else text
 
 
@@ -122,12 +140,12 @@ def disguised(text: str | None) -> bool:
     """Holds a character or sequence that passes for ordinary text, or for nothing, but is another one."""
     if text is None or text.isascii() and text.isprintable():
         return False
-    pattern, no = tables()
-    for m in pattern.finditer(text):
-        run = m.group()
+    no = tables()[1]
+    for start, end in segments(text):
+        run = text[start:end]
         if not unicodedata.is_normalized("NFC", run) or any(c in no and not unicodedata.decomposition(c).startswith(VISIBLE) for c in run):
             return True
-    plain = pattern.sub(_run, text)
+    plain = splice(text, _run)
     return _settle(plain) != plain
 
 
