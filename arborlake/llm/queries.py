@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm import bpe, leaks, pii, unitext
-from arborlake.session import table
+from arborlake.llm import bpe, leaks, pii, survivors, unitext, variants
+from arborlake.session import checkpoint, table
 
 NAMES = ["scientific_name", "canonical_name"]
 
@@ -20,6 +20,29 @@ def p1_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "taxa").select("speciedex_id", *[unitext.canonical_column(F.col(c)).alias(c) for c in NAMES]).distinct()
 
 
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.ranked_rows(table(spark, d, "assertions"), table(spark, d, "providers"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = _rows(spark, d)
+    quality, _ = survivors.fit(survivors.patterns(rows))
+    return survivors.best_rows(rows, quality).where("all_best").select("provider", "provider_id", "assertion_hash").distinct()
+
+
+def p6_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every value judged true of every taxon and field."""
+    rows = _rows(spark, d)
+    claims = checkpoint(survivors.patterns(rows))
+    return survivors.true_values(rows, claims, *survivors.fit(claims))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    taxa = table(spark, d, "taxa").select("speciedex_id", "authorship").where("authorship is not null").distinct()
+    links = variants.link(taxa, "authorship", table(spark, d, "authors"), "author_id", "full_name")
+    return taxa.join(links, taxa.authorship == links.text).select("speciedex_id", F.col("person").alias("author_id")).distinct()
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -40,5 +63,19 @@ def p10_text(spark: SparkSession, d: str) -> DataFrame:
     return pii.masked(docs, "doc_id", "text", pii.given_names(pii.reveal(docs, "text")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_names, p8_ids, p9_found, p10_found, p10_text)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_names, p6_found, p6_values, p7_found, p8_ids, p9_found, p10_found, p10_text)}
+_UNKNOWN = ", ".join(f"'{w}'" for w in survivors.UNKNOWN)
+_FILLED = " + ".join(f"CAST(trim(coalesce(c->>'{f}', '')) <> '' AND lower(trim(c->>'{f}')) NOT IN ({_UNKNOWN}) AS INTEGER)" for f in survivors.FIELDS)
+ORACLE: dict[str, str] = {
+    "p6_found": rf"""
+WITH a AS (SELECT DISTINCT CASE WHEN x LIKE 'spx:sha256:%' THEN trim(substr(x, 12)) ELSE x END AS k, lower(trim(provider)) AS source, provider, provider_id, assertion_hash, assertion_json, regexp_replace(regexp_replace(upper(trim(updated_at)), '^(\d{{4}})(\d\d)(\d\d)T', '\1-\2-\3T'), 'T(\d\d)(\d\d)(\d\d)', 'T\1:\2:\3') AS t
+  FROM (SELECT *, lower(trim(speciedex_id)) AS x FROM assertions) WHERE x <> ''),
+j AS (SELECT *, CASE WHEN json_valid(assertion_json) THEN assertion_json::JSON END AS d FROM a),
+u AS (SELECT *, CASE WHEN json_type(d) = 'VARCHAR' AND json_valid(d->>'$') THEN (d->>'$')::JSON ELSE d END AS c FROM j),
+r AS (SELECT k, u.provider, provider_id, assertion_hash, coalesce(p.trust, -1) AS trust, coalesce({_FILLED}, 0) AS filled,
+  coalesce(try_cast(CASE WHEN regexp_matches(t, '(Z|[+-]\d\d:\d\d)$') THEN t ELSE t || 'Z' END AS timestamptz), timestamptz '0001-01-01 00:00:00Z') AS ts FROM u LEFT JOIN providers p ON lower(trim(p.provider)) = source),
+s AS (SELECT DISTINCT * FROM r),
+m AS (SELECT *, max(trust) OVER w AS mt, max(filled) OVER w AS mf, max(ts) OVER w AS ms, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY k)),
+b AS (SELECT *, count(*) OVER (PARTITION BY k) AS ties FROM m WHERE trust = mt AND filled = mf AND ts = ms AND n > 1)
+SELECT DISTINCT provider, provider_id, assertion_hash FROM b WHERE ties = 1""",
+}
