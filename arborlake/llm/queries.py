@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm import bpe, leaks, pii, survivors, unitext, variants
+from arborlake.llm import bpe, entities, leaks, pii, survivors, unitext, variants
 from arborlake.session import checkpoint, table
 
 NAMES = ["scientific_name", "canonical_name"]
@@ -20,6 +20,15 @@ def p1_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "taxa").select("speciedex_id", *[unitext.canonical_column(F.col(c)).alias(c) for c in NAMES]).distinct()
 
 
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    """All matches with their confidence."""
+    return entities.match(table(spark, d, "taxa"), table(spark, d, "provider_taxa"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_matches(spark, d).select("speciedex_id", "provider", "provider_id")
+
+
 def _rows(spark: SparkSession, d: str) -> DataFrame:
     return survivors.ranked_rows(table(spark, d, "assertions"), table(spark, d, "providers"))
 
@@ -63,7 +72,7 @@ def p10_text(spark: SparkSession, d: str) -> DataFrame:
     return pii.masked(docs, "doc_id", "text", pii.given_names(pii.reveal(docs, "text")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_names, p6_found, p6_values, p7_found, p8_ids, p9_found, p10_found, p10_text)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_names, p5_found, p5_matches, p6_found, p6_values, p7_found, p8_ids, p9_found, p10_found, p10_text)}
 _UNKNOWN = ", ".join(f"'{w}'" for w in survivors.UNKNOWN)
 _FILLED = " + ".join(f"CAST(trim(coalesce(c->>'{f}', '')) <> '' AND lower(trim(c->>'{f}')) NOT IN ({_UNKNOWN}) AS INTEGER)" for f in survivors.FIELDS)
 ORACLE: dict[str, str] = {

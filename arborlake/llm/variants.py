@@ -110,7 +110,7 @@ def grams(form: Column, n: int = 2) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(edged) - (n - 1)), lambda i: F.substr(edged, i, F.lit(n))))
 
 
-def similar(forms: DataFrame, threshold: float = 0.45, top: int = 20) -> DataFrame:
+def similar(forms: DataFrame, threshold: float = 0.4, top: int = 20) -> DataFrame:
     """a, b, sim: each form's `top` most similar forms (all ties kept) by tf-idf cosine of at least `threshold`.
 
     Vectors are of unit length, rare grams first. Two vectors with that cosine must share a gram among the first
