@@ -42,6 +42,20 @@ def slip(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
 
 
+def slips(a: str, b: str) -> int:
+    """Letters replaced, added, left out or swapped with their neighbour between two words."""
+    before, row = [], list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            best = min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y))
+            if i and j and x == b[j - 1] and y == a[i - 1]:
+                best = min(best, before[j - 1] + 1)
+            new.append(best)
+        before, row = row, new
+    return row[-1]
+
+
 def stem(epithet: str) -> str:
     """Epithet without the ending that changes with the gender of the genus."""
     s = re.sub(r"(?:us|um|is|a|e|i)$", "", epithet) if len(epithet) > 4 else epithet
@@ -53,7 +67,7 @@ def name_parts(name: str | None, full: str | None, rank: str | None) -> tuple[li
     n = PARTS.get((rank or "").strip().lower(), 0)
 
     def split(text: str) -> tuple[list[str], str]:
-        words, i, rest = [], 0, canonical(text).replace("×", " ").split()
+        words, i, rest = [], 0, re.sub(r"[×_]", " ", canonical(text)).split()
         while i < len(rest) and (not n or len(words) < n):
             w = rest[i]
             if w.lower() in MARKS or (words and re.fullmatch(r"\([^\W\d_]+\)", w) and i + 1 < len(rest) and i == 1 and n > 1):
@@ -99,7 +113,7 @@ def tokens(rec: tuple) -> list[str]:
 
 def _same_person(p: tuple, r: tuple) -> bool:
     (a, ag, am, ash), (b, bg, bm, bsh) = p, r
-    if not (a == b or (ash and b.startswith(a)) or (bsh and a.startswith(b)) or (len(a) > 3 and slip(a, b)) or ((ash or bsh) and len(min(a, b, key=len)) > 3 and slip(a[: len(min(a, b, key=len))], b[: len(min(a, b, key=len))]))):
+    if not (a == b or (ash and b.startswith(a)) or (bsh and a.startswith(b)) or (len(a) > 3 and slip(a, b)) or (min(len(a), len(b)) > 5 and slips(a, b) <= 2) or ((ash or bsh) and len(min(a, b, key=len)) > 3 and slip(a[: len(min(a, b, key=len))], b[: len(min(a, b, key=len))]))):
         return False
     if ag and bg:
         x, y = NICKNAMES.get(ag, ag), NICKNAMES.get(bg, bg)
@@ -170,7 +184,7 @@ def signatures(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     return plain.select(*keys, "raw").join(parsed.select("raw", "sig"), "raw").select(*keys, "sig").distinct(), parsed.drop("raw").dropDuplicates(["sig"])
 
 
-def retrieve(queries: DataFrame, docs: DataFrame, share: float = 0.5, top: int = 10) -> DataFrame:
+def retrieve(queries: DataFrame, docs: DataFrame, share: float = 0.42, top: int = 10) -> DataFrame:
     """q, d, score, self, known: the `top` best documents of each query by BM25 (ties kept) with at least `share` of its own score."""
     total, mean = docs.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
     posts = docs.select(F.col("sig").alias("d"), F.size("tokens").alias("len"), F.explode("tokens").alias("t"))
@@ -199,7 +213,7 @@ def retrieve(queries: DataFrame, docs: DataFrame, share: float = 0.5, top: int =
     return scored.withColumn("r", F.rank().over(one.orderBy(F.desc("score")))).where(F.col("r") <= top).drop("r")
 
 
-def match(taxa: DataFrame, others: DataFrame, share: float = 0.5, top: int = 10) -> DataFrame:
+def match(taxa: DataFrame, others: DataFrame, share: float = 0.42, top: int = 10) -> DataFrame:
     """speciedex_id, provider, provider_id, confidence of the pairs that are the same taxon at the same rank.
 
     Null and empty attributes are missing evidence; a record without a name or with an unknown rank matches by what
@@ -220,19 +234,18 @@ def match(taxa: DataFrame, others: DataFrame, share: float = 0.5, top: int = 10)
 
         for b in batches:
             points = [agreement(plain(q), plain(d), frozenset(k)) for q, d, k in zip(b["qr"], b["dr"], b["known"])]
-            yield b[["q", "d", "score", "self"]].assign(points=points, dk=[d["kingdom"] for d in b["dr"]])
+            yield b[["q", "d", "score", "self"]].assign(points=points, dk=[d["kingdom"] for d in b["dr"]], name=[" ".join([*d["words"][:1], *map(stem, d["words"][1:])]) for d in b["dr"]])
 
-    judged = checkpoint(full.mapInPandas(run, "q bigint, d bigint, score double, self double, points int, dk string"))
+    judged = checkpoint(full.mapInPandas(run, "q bigint, d bigint, score double, self double, points int, dk string, name string"))
     one = Window.partitionBy("q")
-    good = judged.where("points > 0").withColumn("best", F.max(F.struct("points", "score")).over(one))
-    # Where some candidates agree in an author or family and others in none, only the former stay; nor may kingdoms mix.
-    good = good.where((F.col("points") == F.col("best.points")) | (F.col("points") >= 3))
-    good = good.withColumn("king", F.max_by("dk", F.struct("points", "score")).over(one)).where((F.col("dk") == F.col("king")) | (F.col("dk") == "") | (F.col("king") == ""))
+    # The best candidate says which name and kingdom it is; all records of that taxon stay, as it may be archived twice.
+    good = judged.where("points > 0").withColumn("best", F.max(F.struct("points", "score", "dk", "name")).over(one))
+    good = good.where((F.col("name") == F.col("best.name")) & ((F.col("dk") == F.col("best.dk")) | (F.col("dk") == "") | (F.col("best.dk") == "")))
     other = judged.where("points = 0").groupBy("q").agg(F.max("score").alias("next"))
     gap = (F.col("score") - F.coalesce("next", F.lit(0.0))) / F.col("self")
     good = good.join(other, "q", "left").withColumn("confidence", 1 / (1 + F.exp(-(F.lit(1.0) + 4.0 * gap + 0.8 * (F.col("points") - 1)))))
-    pairs = good.join(o_keys, good.q == o_keys.sig).select("d", "q", "score", "confidence", "provider", "provider_id")
+    pairs = good.join(o_keys, good.q == o_keys.sig).select("d", "q", (F.col("score") / F.col("self")).alias("near"), "confidence", "provider", "provider_id")
     # Mutual: no record of the same provider is far nearer to the taxon.
-    near = pairs.withColumn("most", F.max("score").over(Window.partitionBy("d", "provider"))).where(F.col("score") >= 0.6 * F.col("most"))
+    near = pairs.withColumn("most", F.max("near").over(Window.partitionBy("d", "provider"))).where(F.col("near") >= 0.5 * F.col("most"))
     out = near.join(t_keys, near.d == t_keys.sig)
     return out.groupBy("speciedex_id", "provider", "provider_id").agg(F.round(F.max("confidence"), 6).alias("confidence"))
