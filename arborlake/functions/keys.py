@@ -10,7 +10,7 @@ BLANKS = r"[\s ]+"
 
 def strip(c: Column) -> Column:
     """Without surrounding blanks of any kind; null stays null."""
-    return F.regexp_replace(c, rf"^{BLANKS}|{BLANKS}$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def filled(c: Column) -> Column:
