@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,57 +111,93 @@ def grams(form: Column, n: int = 2) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(edged) - (n - 1)), lambda i: F.substr(edged, i, F.lit(n))))
 
 
-def similar(forms: DataFrame, threshold: float = 0.4, top: int = 20) -> DataFrame:
-    """a, b, sim: each form's `top` most similar forms (all ties kept) by tf-idf cosine of at least `threshold`.
-
-    Vectors are of unit length, rare grams first. Two vectors with that cosine must share a gram among the first
-    ones of either, whose squared weights make up all but threshold squared: only these meet in the join, so the
-    grams of common endings never do.
-    """
+def vectors(forms: DataFrame) -> DataFrame:
+    """form, g, w, before: unit tf-idf vector of each form, rare grams first, and the squared weight before each gram."""
     rows = forms.select("form", F.explode(grams(F.col("form"))).alias("g"))
-    total = forms.count()
     df = rows.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    w = rows.join(df, "g").select("form", "g", (F.ln(F.lit(float(total + 1)) / F.col("df")) + F.lit(0.01)).alias("w"))
+    total = forms.agg(F.count(F.lit(1)).alias("total"))
+    w = rows.join(df, "g").crossJoin(F.broadcast(total)).select("form", "g", (F.ln((F.col("total") + 1) / F.col("df")) + F.lit(0.01)).alias("w"))
     order = Window.partitionBy("form").orderBy(F.desc("w"), "g")  # one word's grams
     unit = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("form"))))
-    unit = unit.withColumn("before", F.coalesce(F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    unit = checkpoint(unit)
-    head = unit.where(F.col("before") < 1 - threshold * threshold + 1e-9)
-    pairs = head.select(F.col("form").alias("a"), "g").join(head.select(F.col("form").alias("b"), "g"), "g").where("a < b").select("a", "b").distinct()
-    vectors = unit.groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("v"))
-    both = pairs.join(vectors.select(F.col("form").alias("a"), F.col("v").alias("va")), "a").join(vectors.select(F.col("form").alias("b"), F.col("v").alias("vb")), "b")
-    dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.col("vb")[e["key"]], F.lit(0.0)))
-    scored = both.select("a", "b", dot.alias("sim")).where(F.col("sim") >= threshold)
-    way = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    near = way.withColumn("r", F.rank().over(Window.partitionBy("a").orderBy(F.desc("sim")))).where(F.col("r") <= top)
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").distinct()
-
-
-def average_linkage(forms: DataFrame, pairs: DataFrame, threshold: float, rounds: int = 40) -> DataFrame:
-    """form, cluster: average linkage over the pairs, of which absent ones count as 0.
-
-    Clusters that are each other's nearest merge in the same round, which gives the tree of the sequential method,
-    as average linkage is reducible; ties go to the smaller name. A round is a few joins of cluster pairs, no
-    component is gathered. Rounds end when no two clusters are as similar as the threshold.
+    return unit.withColumn("before", F.coalesce(F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+
+
+def similar(unit: DataFrame, heads: DataFrame, threshold: float = 0.35) -> DataFrame:
+    """head, form, sim: all forms whose cosine with a head form is at least the threshold.
+
+    Two vectors with that cosine share a gram among the first ones of either, whose squared weights make up all but
+    threshold squared: only these meet in the join, so the grams of common endings never do.
+    """
+    first = unit.where(F.col("before") < 1 - threshold * threshold + 1e-9).select("form", "g")
+    pairs = first.join(heads, "form", "left_semi").select(F.col("form").alias("head"), "g").join(first, "g").select("head", "form").distinct()
+    whole = unit.groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("v"))
+    both = pairs.join(whole.select(F.col("form").alias("head"), F.col("v").alias("hv")), "head").join(whole, "form")
+    dot = F.aggregate(F.map_entries("hv"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.col("v")[e["key"]], F.lit(0.0)))
+    return both.select("head", "form", dot.alias("sim"), "v").where(F.col("sim") >= threshold)
+
+
+def average_linkage(sims: np.ndarray, threshold: float) -> list[int]:
+    """Cluster number of each row of a symmetric similarity matrix, merged by mean similarity down to the threshold.
+
+    Nearest-neighbour chains: clusters that are each other's nearest merge at once, which gives the tree of the
+    sequential method in quadratic time, as average linkage is reducible; ties go to the smaller index.
     """
-    member = forms.select("form", F.col("form").alias("cluster"))
-    size = forms.select(F.col("form").alias("cluster"), F.lit(1).cast("bigint").alias("n"))
-    edges = pairs.select("a", "b", F.col("sim").alias("s"))
-    for _ in range(rounds):
-        sized = edges.join(size.select(F.col("cluster").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("cluster").alias("b"), F.col("n").alias("nb")), "b")
-        sized = sized.withColumn("mean", F.col("s") / (F.col("na") * F.col("nb"))).where(F.col("mean") >= threshold)
-        way = sized.select("a", "b", "mean").unionByName(sized.select(F.col("b").alias("a"), F.col("a").alias("b"), "mean"))
-        best = way.groupBy("a").agg(F.max_by("b", F.struct("mean", -F.xxhash64(F.least("a", "b"), F.greatest("a", "b")))).alias("b"))
-        mutual = checkpoint(best.alias("x").join(best.alias("y"), (F.col("x.b") == F.col("y.a")) & (F.col("y.b") == F.col("x.a"))).where("x.a < x.b").select(F.col("x.b").alias("old"), F.col("x.a").alias("new")))
-        if not mutual.take(1):
-            break
-        def renamed(df: DataFrame, c: str) -> DataFrame:
-            return df.join(mutual, df[c] == mutual.old, "left").withColumn(c, F.coalesce("new", c)).drop("old", "new")
-        member = checkpoint(renamed(member, "cluster"))
-        size = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-        moved = renamed(renamed(edges, "a"), "b").where("a <> b")
-        edges = checkpoint(moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s")))
-    return member
+    n = len(sims)
+    s = sims.astype(float).copy()
+    np.fill_diagonal(s, -1.0)
+    size, alive, label = np.ones(n), np.ones(n, bool), list(range(n))
+    members = {i: [i] for i in range(n)}
+    open_ = set(range(n))
+    chain: list[int] = []
+    while open_:
+        if not chain:
+            chain.append(min(open_))
+        i = chain[-1]
+        row = np.where(alive, s[i], -1.0)
+        j = int(row.argmax())
+        if len(chain) > 1 and row[chain[-2]] >= row[j]:
+            j = chain[-2]
+        if row[j] < threshold:
+            open_.discard(i)  # no later merge can bring it nearer
+            chain.pop()
+        elif len(chain) > 1 and j == chain[-2]:
+            chain = chain[:-2]
+            a, b = min(i, j), max(i, j)
+            s[a] = s[:, a] = (size[a] * s[a] + size[b] * s[b]) / (size[a] + size[b])
+            s[a, a] = -1.0
+            size[a] += size[b]
+            alive[b] = False
+            members[a] += members.pop(b)
+            open_.discard(b)
+            open_.add(a)
+        else:
+            chain.append(j)
+    for a, rows in members.items():
+        for r in rows:
+            label[r] = a
+    return label
+
+
+def clusters(near: DataFrame, threshold: float = 0.35) -> DataFrame:
+    """head, form: the forms that fall into one cluster with the head among all forms near to it.
+
+    A group holds the distinct spellings within the cosine of one listed name, not rows: a few hundred words.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("form", ignore_index=True)
+        index = {g: i for i, g in enumerate(sorted({g for v in group["v"] for g in v}))}
+        m = np.zeros((len(group), len(index)), np.float32)
+        for r, v in enumerate(group["v"]):
+            for g, w in dict(v).items():
+                m[r, index[g]] = w
+        label = average_linkage(m @ m.T, threshold)
+        head = group["head"][0]
+        own = [label[r] for r, f in enumerate(group["form"]) if f == head]
+        kept = [f for r, f in enumerate(group["form"]) if own and label[r] == own[0]]
+        return pd.DataFrame({"head": [head] * len(kept), "form": kept}).astype(str)
+
+    return near.groupBy("head").applyInPandas(run, "head string, form string")
 
 
 def typo(a: Column, b: Column) -> Column:
@@ -197,22 +234,20 @@ def link(texts: DataFrame, text: str, persons: DataFrame, key: str, name: str, b
     named = checkpoint(mentions(texts, text, frozenset(r[0] for r in givens)))
     surnames = people_.select(F.col("own").alias("form")).distinct()
     forms = checkpoint(named.where("not short").select(F.col("surname").alias("form")).unionByName(surnames).distinct())
-    pairs = checkpoint(similar(forms))
-    groups = average_linkage(forms, pairs, 0.4)
-    heads = groups.join(surnames, "form", "left_semi").select(F.col("form").alias("own"), "cluster")
-    near = groups.join(heads, "cluster").select("form", "own")
-    for a, b in (("a", "b"), ("b", "a")):
-        near = near.unionByName(pairs.select(F.col(a).alias("form"), F.col(b).alias("own")).join(surnames.select(F.col("form").alias("own")), "own", "left_semi"))
+    # Beside the cluster of a name, its nearest spellings are tried: a slip that clusters with another slip is not lost.
+    near = checkpoint(similar(vectors(forms), surnames))
+    ranked = near.withColumn("r", F.rank().over(Window.partitionBy("form").orderBy(F.desc("sim")))).where("r <= 3")
+    met = clusters(near).unionByName(ranked.select("head", "form")).select("form", F.col("head").alias("own")).distinct()
     slip = typo(F.col("form"), F.col("own"))
-    same = near.distinct().join(surnames, "form", "left_anti").where(slip).unionByName(surnames.select("form", F.col("form").alias("own"))).distinct()
+    same = met.join(surnames, "form", "left_anti").where(slip).unionByName(surnames.select("form", F.col("form").alias("own"))).distinct()
     full = named.where("not short").join(same, named.surname == same.form).join(people_, "own")
     starts = people_.withColumn("form", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.length("own"), F.lit(2))), lambda n: F.substr("own", F.lit(1), n))))
     begun = named.where("short").join(starts, named.surname == starts.form)
     wanted = ["text", "surname", "given", "middle", "short", "person", "own_given", "own_middle", "sharing"]
-    met = full.select(wanted).unionByName(begun.select(wanted)).distinct()
+    both = full.select(wanted).unionByName(begun.select(wanted)).distinct()
     hint = F.col("given") != ""
     middle = (F.col("middle") == "") | (F.col("own_middle") == "") | (F.col("middle") == F.col("own_middle"))
-    fits = met.where(F.when(hint, _given_fits(F.col("given"), F.col("own_given")) & middle).otherwise(F.col("short") | (F.col("sharing") == 1)))
+    fits = both.where(F.when(hint, _given_fits(F.col("given"), F.col("own_given")) & middle).otherwise(F.col("short") | (F.col("sharing") == 1)))
     # Each mention names one person.
     one = fits.groupBy("text", "surname", "given", "middle", "short").agg(F.min("person").alias("person"), F.max("person").alias("other")).where("person = other")
     return one.select("text", "person").distinct()
