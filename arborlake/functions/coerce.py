@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -26,7 +27,7 @@ def number(c: Column, kind: T.DataType) -> Column:
         n = c.cast("double")
     elif isinstance(kind, T.BooleanType):
         n = c.cast("int").cast("double")
-    elif isinstance(kind, (T.TimestampType, T.DateType)):
+    elif isinstance(kind, TIMES):
         n = F.unix_millis(c.cast("timestamp")).cast("double")
     elif isinstance(kind, T.StringType):
         s = F.trim(c)
@@ -72,7 +73,7 @@ def folded(c: Column) -> Column:
 
 def moment(c: Column, kind: T.DataType) -> Column:
     """Timestamp of a value: numbers are epoch milliseconds, text must hold one of - T : /."""
-    if isinstance(kind, (T.TimestampType, T.DateType)):
+    if isinstance(kind, TIMES):
         return c.cast("timestamp")
     if isinstance(kind, NUMERIC):
         return F.timestamp_millis(c.cast("bigint"))
