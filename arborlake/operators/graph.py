@@ -85,10 +85,11 @@ def parents_by_id_or_name(df: DataFrame, key: str, name: str, parent: str) -> Da
 def expand_lineage(df: DataFrame, lineage: str, source: str, key: str) -> DataFrame:
     """One row per lineage prefix: id, name, rank, parent_id, terminal. Ancestors get an id from the digest of the prefix, the record keeps its own."""
     at = df.select(key, source, F.col(lineage).alias("l"), F.posexplode(lineage).alias("i", "x"))
-    src = F.coalesce(F.nullif(F.col(source), F.lit("")), F.lit("speciedex"))
+    src = F.coalesce(F.col(source), F.lit(""))
+    prefix_ = F.when(src == "", "speciedex").otherwise(src)
     def made(prefix, name, rank):
         steps = F.transform(prefix, lambda s: F.struct(s["name"].alias("name"), s["rank"].alias("rank")))
-        return F.concat(src, F.lit(":taxon:"), F.sha2(F.to_json(F.struct(steps.alias("lineage"), name.alias("name"), rank.alias("rank"), src.alias("source"))), 256))
+        return F.concat(prefix_, F.lit(":taxon:"), F.sha2(F.to_json(F.struct(steps.alias("lineage"), name.alias("name"), rank.alias("rank"), src.alias("source"))), 256))
     last = F.col("i") == F.size("l") - 1
     own = F.when(last, F.col(key)).otherwise(made(F.slice("l", F.lit(1), F.col("i") + 1), F.col("x.name"), F.col("x.rank")))
     parent = F.when(F.col("i") > 0, made(F.slice("l", F.lit(1), F.greatest(F.col("i"), F.lit(1))), F.get("l", F.col("i") - 1)["name"], F.get("l", F.col("i") - 1)["rank"]))

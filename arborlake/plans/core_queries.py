@@ -366,7 +366,7 @@ def win_top(t: _T) -> DataFrame:
     return timeline.rank_records(t("part"), "p_retailprice", ["p_partkey"]).select("p_partkey", "p_retailprice")
 
 
-@query("SELECT min(ts) AS first, max(ts) AS last, count(ts) AS valid, count(*) - count(ts) AS invalid, epoch_ms(max(ts)) - epoch_ms(min(ts)) AS duration_ms FROM events")
+@query("SELECT min(ts) AS first, max(ts) AS last, count(ts) AS valid, count(*) - count(ts) AS invalid, epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000 AS duration_ms FROM events")
 def win_range(t: _T) -> DataFrame:
     return timeline.time_range(t("events"), "ts")
 

@@ -110,7 +110,7 @@ def _field(df: DataFrame, path: str, op: str, v: Any) -> Column:
     if op == "$all":
         out = F.lit(True)
         for x in v:
-            out = out & (F.exists(vals, lambda c, x=x: _eq(c, inner, x)) if many else _eq(F.col(path), inner, x))
+            out = out & _field(df, path, "$eq", x)
         return out
     if op == "$none":
         return ~_field(df, path, "$in", v)
