@@ -58,7 +58,7 @@ ADDRESS = re.compile(
 _GIVEN, _WORD = rf"[{_U}][{_L}]+|[{_U}]{{2,}}", rf"[{_U}][\w{_L}'’]+"
 _SURNAME = rf"(?:(?:{PARTICLES}) )?{_WORD}(?:-{_WORD})?"
 FORWARD = re.compile(rf"(?<![\w.@-])(?P<given>(?:{_GIVEN})|[{_U}]\.)(?: ?[{_U}]\.){{0,2}} ?(?<=[ .])(?P<part>(?i:{PARTICLES}) )?(?P<last>{_WORD}(?:-{_WORD})?)")
-BACKWARD = re.compile(rf"(?<![\w.@-])(?P<part>(?i:{PARTICLES}) )?(?P<last>{_WORD}(?:-{_WORD})?), (?P<given>(?:{_GIVEN})(?![\w.@-])|[{_U}]\.)(?: ?[{_U}]\.)?")
+BACKWARD = re.compile(rf"(?<![\w.@-])(?P<part>(?i:{PARTICLES}) )?(?P<last>{_WORD}(?:-{_WORD})?), (?P<given>(?:{_GIVEN})(?![\w@-])|[{_U}]\.)(?: ?[{_U}]\.)?")
 _CUE = re.compile(rf"(?:(?<![\w])(?:{BEFORE})(?: (?:{TITLES})\.?)?|(?:^|\n)-- ?\n|(?<![\w])(?:Dr|Prof)\.?)\s$", re.S)
 _TAIL = re.compile(rf"\s?(?:{AFTER})")
 # What stands before a cited author: an epithet or genus, perhaps with a bracket, or another author and a joint.
@@ -98,9 +98,10 @@ def _cited(left: str) -> bool:
 
 def candidates(text: str) -> Iterator[tuple[int, int, str, bool, bool]]:
     """(start, end, given, cued, cited) of each span with the form of a name, forward or reversed."""
-    for pattern in (FORWARD, BACKWARD):
-        for m in pattern.finditer(text):
-            start = m.start()
+    for pattern, head in ((FORWARD, "given"), (BACKWARD, "last")):
+        at = 0
+        while m := pattern.search(text, at):
+            start, at = m.start(), m.end(head)  # names may begin within a pair that is none
             left = text[max(0, start - 48) : start]
             cued = bool(_CUE.search(left))
             if pattern is BACKWARD and m.group("part") and not cued and _CUE.search(text[max(0, start - 48) : m.start("last")]):
