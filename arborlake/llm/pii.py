@@ -61,9 +61,9 @@ FORWARD = re.compile(rf"(?<![\w.@-])(?P<given>(?:{_GIVEN})|[{_U}]\.)(?: ?[{_U}]\
 BACKWARD = re.compile(rf"(?<![\w.@-])(?P<part>(?i:{PARTICLES}) )?(?P<last>{_WORD}(?:-{_WORD})?), (?P<given>(?:{_GIVEN})(?![\w@-])|[{_U}]\.)(?: ?[{_U}]\.)?")
 _CUE = re.compile(rf"(?:(?<![\w])(?:{BEFORE})(?: (?:{TITLES})\.?)?|(?:^|\n)-- ?\n|(?<![\w])(?:Dr|Prof)\.?)\s$", re.S)
 _TAIL = re.compile(rf"\s?(?:{AFTER})")
-# What stands before a cited author: an epithet or genus, perhaps with a bracket, or another author and a joint.
-_CITED = re.compile(rf"(?:(?:^|[\s(-])[{_U}]\w+(?: \([{_U}]\w+\))?(?: [{_L}-]+){{0,3}}|\)|[\w.]+(?: &| et| ex| in|,)|[{_U}]\w+ and) \(?$")
-_EPITHET = re.compile(rf"(?:^|[\s(])[{_U}][{_L}ë-]+(?: \([{_U}][{_L}]+\))?(?: (?:subsp\.|ssp\.|var\.|f\.|×|[{_L}ë-]{{4,}})){{0,3}} \(?$")
+# What stands before a cited author: a genus or epithets with Latin endings, perhaps with a bracket, or another author and a joint.
+_GENUS, _ENDING = rf"[{_U}][{_L}-]*(?:us|um|a|is|es|on|os|ps|x|as)", "(?:us|um|a|is|e|ens|er|or|ps|es|on|os|i|ae|ns|x)"
+_EPITHET = re.compile(rf"(?:^|[\s(-]){_GENUS}(?: \({_GENUS}\))?(?: (?:subsp\.|ssp\.|var\.|f\.|×|[{_L}-]+{_ENDING})){{0,3}} \(?$")
 _JOINT = re.compile(rf"(?:[{_L}]|[{_U}]{{3,}}|\.)\)?(?:,? (?:&|et|ex|in)|,) $")
 _TITLE_WORDS = frozenset(TITLES.split("|"))
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "person": "[PERSON]"}
