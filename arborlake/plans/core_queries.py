@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from arborlake.functions import coerce as C
 from arborlake.functions import taxonomy as X
 from arborlake.operators import archive, geo, graph, resolve, sets, stats, timeline
-from arborlake.plans import filterlang, searchlang
-from arborlake.session import table
+from arborlake.plans import filterlang, lists, searchlang
+from arborlake.session import shared_folder, table
+from arborlake.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -575,3 +576,97 @@ def res_reconcile(t: _T) -> DataFrame:
 @query()
 def res_duplicates(t: _T) -> DataFrame:
     return resolve.cluster_summary(resolve.duplicate_pairs(t("taxa")))
+
+
+# --- lists, documents and streams -------------------------------------------------------------------------------
+_LIST = lists.ListSpec(text=["scientific_name"], equal=["rank", "kingdom", "family"], ranges=["line_number"], date="loaded_at", sorts=["line_number"], tie=["speciedex_id", "loaded_at"])
+
+
+@query("SELECT speciedex_id, line_number, loaded_at FROM taxa WHERE lower(rank) = 'species' AND lower(kingdom) = 'fungi' AND line_number >= 100 AND loaded_at >= TIMESTAMP '2024-06-01' AND loaded_at <= TIMESTAMP '2025-06-01 23:59:59.999' ORDER BY line_number DESC NULLS LAST, speciedex_id, loaded_at LIMIT 200")
+def flt_list(t: _T) -> DataFrame:
+    return lists.query_list(t("taxa"), _LIST, rank="Species", kingdom="FUNGI", min_line_number=100, date_from="2024-06-01", date_to="2025-06-01", sort="line_number", direction="desc", limit=200).select("speciedex_id", "line_number", "loaded_at")
+
+
+@query("SELECT doc_id FROM documents WHERE n_chars IS NULL OR (CASE WHEN n_chars > 1 THEN n_chars / 100 ELSE n_chars END) <= 2.5")
+def flt_low_confidence(t: _T) -> DataFrame:
+    return t("documents").where(lists.low_confidence(F.col("n_chars"), 2.5)).select("doc_id")
+
+
+@query("SELECT provider, provider_id FROM assertions WHERE coalesce(epoch_us(TIMESTAMP '2025-09-01') - epoch_us(loaded_at) > 90 * 24 * 3600000000, TRUE)")
+def flt_stale(t: _T) -> DataFrame:
+    return t("assertions").where(lists.stale(F.col("loaded_at").cast("timestamp"), "2025-09-01 00:00:00", 90 * 24)).select("provider", "provider_id")
+
+
+@query("SELECT speciedex_id, count(*) AS n FROM taxa WHERE lower(class_name) = 'nubrodrigaaria' GROUP BY 1")
+def flt_by_class(t: _T) -> DataFrame:
+    return t("taxa").where(lists.by_rank("class", "Nubrodrigaaria")).groupBy("speciedex_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, 'k' AS path, props->>'$.k' AS value FROM events")
+def prj_flatten(t: _T) -> DataFrame:
+    return lists.flatten_paths(t("events"), "event_id", "props")
+
+
+@query("SELECT lower(synonym_key) AS synonym_key, speciedex_id, array_to_string(list_sort(list(DISTINCT provider)), ',') AS providers, count(*) AS records, round(avg(length(provider)), 6) AS confidence FROM synonyms WHERE synonym_key IS NOT NULL GROUP BY 1, 2")
+def agg_conflicts(t: _T) -> DataFrame:
+    rows = t("synonyms").where("synonym_key is not null").select(F.lower("synonym_key").alias("synonym_key"), "speciedex_id", "provider", F.length("provider").alias("c"))
+    return lists.conflict_values(rows, ["synonym_key"], "speciedex_id", "provider", "c")
+
+
+@query("WITH f AS (SELECT provider, provider_id, min(retrieved_at) AS r FROM provider_taxa GROUP BY 1, 2) SELECT p.provider, p.provider_id, p.retrieved_at, p.retrieved_at <> f.r AS duplicate FROM provider_taxa p JOIN f ON f.provider = p.provider AND f.provider_id = p.provider_id")
+def res_scan(t: _T) -> DataFrame:
+    return lists.scan_jobs(t("provider_taxa"), ["provider", "provider_id"], "retrieved_at", "canonical_name", "rank").select("provider", "provider_id", "retrieved_at", "duplicate")
+
+
+@query("SELECT provider, CASE max(CASE WHEN trust <= 1 THEN 3 WHEN trust = 2 THEN 2 WHEN trust = 3 THEN 1 ELSE 0 END) WHEN 3 THEN 'critical' WHEN 2 THEN 'warning' WHEN 1 THEN 'unknown' ELSE 'ok' END AS status FROM providers GROUP BY 1")
+def res_health(t: _T) -> DataFrame:
+    p = F.col("trust")
+    return resolve.worst_status(t("providers").withColumn("s", F.when(p <= 1, "critical").when(p == 2, "warning").when(p == 3, "unknown").otherwise("ok")), "provider", "s")
+
+
+@query("SELECT volume_file, CAST(floor(coalesce(sum(length(record_json)) OVER (PARTITION BY volume_file ORDER BY line_number, speciedex_id, loaded_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 100000) AS BIGINT) AS volume, line_number FROM taxa WHERE record_json IS NOT NULL QUALIFY row_number() OVER (PARTITION BY volume_file, line_number) >= 1")
+def snk_volumes(t: _T) -> DataFrame:
+    rows = t("taxa").where("record_json is not null").withColumn("_line", F.col("line_number"))
+    rows = rows.withColumn("line_number", F.struct("line_number", "speciedex_id", "loaded_at"))
+    return archive.volumes(rows, F.length("record_json"), 100_000).select("volume_file", "volume", F.col("_line").alias("line_number"))
+
+
+@query("SELECT provider, count(*) AS samples, round(avg(CASE WHEN provider_id LIKE '%7%' THEN 1 ELSE 0 END), 6) AS uptime, round(quantile_cont(length(provider_id), 0.95), 6) AS latency_p95 FROM assertions WHERE loaded_at >= TIMESTAMP '2025-01-01' GROUP BY 1")
+def win_health(t: _T) -> DataFrame:
+    h = timeline.rolling_health(t("assertions"), "provider", "loaded_at", F.col("provider_id").contains("7"), F.length("provider_id").cast("double"), "2025-01-01 00:00:00")
+    return _r(h.select("provider", "samples", "uptime", "latency_p95"))
+
+
+@query(r"SELECT n_name FROM nation ORDER BY CAST(regexp_extract(n_name, '\d+') AS INTEGER) DESC LIMIT 10")
+def ord_natural(t: _T) -> DataFrame:
+    return t("nation").orderBy(C.natural_key(F.col("n_name")).desc()).limit(10).select("n_name")
+
+
+def _events_stream(spark: SparkSession, d: str) -> DataFrame:
+    schema = table(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
+
+
+def str_latest(spark: SparkSession, d: str) -> DataFrame:
+    """Incremental upsert of the newest event of each user from a file stream, all that is there."""
+    out = shared_folder(spark, "stream")
+    streams.run_available(_events_stream(spark, d).select("user_id", "event_id", "event_type", "ts"), out + "-offsets", streams.upsert_batches(out, ["user_id"], ["ts", "event_id"]))
+    return streams.latest_version(spark, out).select("user_id", "event_id", "event_type", "ts")
+
+
+def str_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Event-time windows of a file stream, appended once the watermark has passed or, at the end, updated."""
+    out = shared_folder(spark, "windows")
+    counted = streams.windowed_counts(_events_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 day", "0 seconds")
+
+    def each(batch: DataFrame, n: int) -> None:
+        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/b{n}")
+
+    streams.run_available(counted, out + "-offsets", each, "update")
+    rows = spark.read.parquet(f"{out}/*")
+    return rows.groupBy("start", "event_type").agg(F.max_by("count", "batch").alias("count"))
+
+
+QUERIES |= {"str_latest": str_latest, "str_windows": str_windows}
+ORACLE["str_latest"] = ORACLE["win_latest"]
+ORACLE["str_windows"] = "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS count FROM events GROUP BY 1, 2"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from arborlake.operators.archive import upsert
+from arborlake.session import folder_names
 
 
 def parquet_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -37,9 +37,8 @@ def tail_buffer(path: str, order: str, size: int = 1000) -> Callable[[DataFrame,
     """Batch function that keeps the newest `size` records in versioned folders; a re-run of a batch gives the same folder."""
     def each(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        before = os.path.join(path, f"v{n - 1}")
-        rows = batch.unionByName(spark.read.parquet(before)) if n > 0 and os.path.exists(before) else batch
-        rows.orderBy(F.desc(order)).limit(size).write.mode("overwrite").parquet(os.path.join(path, f"v{n}"))
+        rows = batch.unionByName(spark.read.parquet(f"{path}/v{n - 1}")) if f"v{n - 1}" in folder_names(spark, path) else batch
+        rows.orderBy(F.desc(order)).limit(size).write.mode("overwrite").parquet(f"{path}/v{n}")
     return each
 
 
@@ -47,15 +46,14 @@ def upsert_batches(path: str, keys: list[str], order: list[str]) -> Callable[[Da
     """Batch function that upserts into a table kept as versioned folders, so that a lost batch can be run again."""
     def each(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        before = os.path.join(path, f"v{n - 1}")
-        old = spark.read.parquet(before) if n > 0 and os.path.exists(before) else batch.limit(0)
-        upsert(old, batch, keys, order).write.mode("overwrite").parquet(os.path.join(path, f"v{n}"))
+        old = spark.read.parquet(f"{path}/v{n - 1}") if f"v{n - 1}" in folder_names(spark, path) else batch.limit(0)
+        upsert(old, batch, keys, order).write.mode("overwrite").parquet(f"{path}/v{n}")
     return each
 
 
 def latest_version(spark: SparkSession, path: str) -> DataFrame:
-    n = max(int(d[1:]) for d in os.listdir(path) if d.startswith("v") and d[1:].isdigit())
-    return spark.read.parquet(os.path.join(path, f"v{n}"))
+    n = max(int(d[1:]) for d in folder_names(spark, path) if d.startswith("v") and d[1:].isdigit())
+    return spark.read.parquet(f"{path}/v{n}")
 
 
 def windowed_counts(stream: DataFrame, ts: str, by: str, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
