@@ -244,8 +244,9 @@ def match(taxa: DataFrame, others: DataFrame, share: float = 0.42, top: int = 10
     other = judged.where("points = 0").groupBy("q").agg(F.max("score").alias("next"))
     gap = (F.col("score") - F.coalesce("next", F.lit(0.0))) / F.col("self")
     good = good.join(other, "q", "left").withColumn("confidence", 1 / (1 + F.exp(-(F.lit(1.0) + 4.0 * gap + 0.8 * (F.col("points") - 1)))))
-    pairs = good.join(o_keys, good.q == o_keys.sig).select("d", "q", (F.col("score") / F.col("self")).alias("near"), "confidence", "provider", "provider_id")
-    # Mutual: no record of the same provider is far nearer to the taxon.
-    near = pairs.withColumn("most", F.max("near").over(Window.partitionBy("d", "provider"))).where(F.col("near") >= 0.5 * F.col("most"))
-    out = near.join(t_keys, near.d == t_keys.sig)
+    # Mutual: no record of the same provider is far nearer to the taxon; judged between distinct records, before their keys fan out.
+    pairs = checkpoint(good.select("d", "q", (F.col("score") / F.col("self")).alias("near"), "confidence").join(o_keys.select(F.col("sig").alias("q"), "provider").distinct(), "q"))
+    most = pairs.groupBy("d", "provider").agg(F.max("near").alias("most"))
+    near = pairs.join(most.withColumnsRenamed({"d": "d2", "provider": "p2"}), (F.col("d") == F.col("d2")) & F.col("provider").eqNullSafe(F.col("p2"))).where(F.col("near") >= 0.5 * F.col("most")).select("d", "q", F.col("provider").alias("of"), "confidence")
+    out = near.join(o_keys, (near.q == o_keys.sig) & near.of.eqNullSafe(o_keys.provider)).drop("sig").join(t_keys, F.col("d") == t_keys.sig)
     return out.groupBy("speciedex_id", "provider", "provider_id").agg(F.round(F.max("confidence"), 6).alias("confidence"))

@@ -234,12 +234,12 @@ def link(texts: DataFrame, text: str, persons: DataFrame, key: str, name: str, b
     named = checkpoint(mentions(texts, text, frozenset(r[0] for r in givens)))
     surnames = people_.select(F.col("own").alias("form")).distinct()
     forms = checkpoint(named.where("not short").select(F.col("surname").alias("form")).unionByName(surnames).distinct())
-    # Beside the cluster of a name, its nearest spellings are tried: a slip that clusters with another slip is not lost.
     near = checkpoint(similar(vectors(forms), surnames))
-    ranked = near.withColumn("r", F.rank().over(Window.partitionBy("form").orderBy(F.desc("sim")))).where("r <= 3")
-    met = clusters(near).unionByName(ranked.select("head", "form")).select("form", F.col("head").alias("own")).distinct()
-    slip = typo(F.col("form"), F.col("own"))
-    same = met.join(surnames, "form", "left_anti").where(slip).unionByName(surnames.select("form", F.col("form").alias("own"))).distinct()
+    grouped = clusters(near).withColumn("inside", F.lit(1))
+    # All near spellings are tried; a slip of two listed names belongs to that whose cluster it falls into.
+    met = near.select(F.col("head").alias("own"), "form").join(surnames, "form", "left_anti").where(typo(F.col("form"), F.col("own")))
+    met = met.join(grouped.select(F.col("head").alias("own"), "form", "inside"), ["own", "form"], "left").withColumn("best", F.max("inside").over(Window.partitionBy("form")))
+    same = met.where("best is null or inside = 1").select("form", "own").unionByName(surnames.select("form", F.col("form").alias("own"))).distinct()
     full = named.where("not short").join(same, named.surname == same.form).join(people_, "own")
     starts = people_.withColumn("form", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.length("own"), F.lit(2))), lambda n: F.substr("own", F.lit(1), n))))
     begun = named.where("short").join(starts, named.surname == starts.form)
