@@ -201,16 +201,16 @@ def retrieve(queries: DataFrame, docs: DataFrame, share: float = 0.42, top: int
     # Tokens whose bounds add up to less than the needed score cannot make a match by themselves.
     essential = asked.where((F.col("below") >= F.lit(share) * F.col("self")) & F.col("df").isNotNull()).select("q", "t")
     pairs = essential.join(posts.select("t", "d"), "t").select("q", "d").distinct()
-    # A list of more than a few tokens is known; a single record that spells it so may be the misspelt one.
-    qs = asked.groupBy("q").agg(
-        F.first("self").alias("self"), F.map_from_entries(F.collect_list(F.struct("t", "idf"))).alias("w"),
-        F.collect_list(F.when((F.col("df") >= 3) & (F.col("t").startswith("G:") | F.col("t").startswith("E:")), F.col("t"))).alias("known"),
-    )
-    ds = docs.select(F.col("sig").alias("d"), "tokens", (F.lit(K1 + 1) / (1 + F.lit(K1) * (1 - B + B * F.size("tokens") / F.lit(float(mean or 1))))).alias("f"))
+    # The pairs carry hashed tokens and plain weights only; what else the check needs joins the few that are left.
+    qs = asked.groupBy("q").agg(F.first("self").cast("float").alias("self"), F.map_from_entries(F.collect_list(F.struct(F.xxhash64("t"), F.col("idf").cast("float")))).alias("w"))
+    ds = docs.select(F.col("sig").alias("d"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"), (F.lit(K1 + 1) / (1 + F.lit(K1) * (1 - B + B * F.size("tokens") / F.lit(float(mean or 1))))).cast("float").alias("f"))
     scored = pairs.join(qs, "q").join(ds, "d")
     score = F.col("f") * F.aggregate(F.array_intersect(F.map_keys("w"), F.col("tokens")), F.lit(0.0), lambda a, t: a + F.col("w")[t])
-    scored = scored.select("q", "d", score.alias("score"), "self", "known").where(F.col("score") >= F.lit(share) * F.col("self"))
-    return scored.withColumn("r", F.rank().over(one.orderBy(F.desc("score")))).where(F.col("r") <= top).drop("r")
+    scored = scored.select("q", "d", score.alias("score"), F.col("self").cast("double").alias("self")).where(F.col("score") >= F.lit(share) * F.col("self"))
+    best = scored.withColumn("r", F.rank().over(one.orderBy(F.desc("score")))).where(F.col("r") <= top).drop("r")
+    # A genus or stem of several records is known; one that a single record has may be the misspelt one.
+    known = asked.where((F.col("df") >= 3) & (F.col("t").startswith("G:") | F.col("t").startswith("E:"))).groupBy("q").agg(F.collect_list("t").alias("known"))
+    return best.join(known, "q", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
 
 
 def match(taxa: DataFrame, others: DataFrame, share: float = 0.42, top: int = 10) -> DataFrame:
