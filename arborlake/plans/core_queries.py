@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from arborlake.functions import coerce as C
 from arborlake.functions import taxonomy as X
 from arborlake.operators import archive, geo, graph, resolve, sets, stats, timeline
-from arborlake.plans import filterlang, lists, searchlang
+from arborlake.plans import filterlang, indexes, lists, searchlang
 from arborlake.session import shared_folder, table
 from arborlake.streaming import streams
 
@@ -670,3 +670,57 @@ def str_windows(spark: SparkSession, d: str) -> DataFrame:
 QUERIES |= {"str_latest": str_latest, "str_windows": str_windows}
 ORACLE["str_latest"] = ORACLE["win_latest"]
 ORACLE["str_windows"] = "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS count FROM events GROUP BY 1, 2"
+
+
+# --- posting lists and scales -----------------------------------------------------------------------------------
+@query("""SELECT p_partkey, CAST(CASE WHEN n = 'small ring' THEN 20 ELSE CASE WHEN n LIKE 'small ring%' THEN 12 ELSE 0 END + CASE WHEN n LIKE '%small ring%' THEN 8 ELSE 0 END + CASE WHEN list_contains(w, 'small') THEN 3 ELSE 0 END + CASE WHEN list_contains(w, 'ring') THEN 3 ELSE 0 END END AS BIGINT) AS score
+FROM (SELECT p_partkey, lower(p_name) AS n, regexp_split_to_array(lower(p_name), '[^a-z0-9._:-]+') AS w FROM part) WHERE list_contains(w, 'small') AND list_contains(w, 'ring') ORDER BY score DESC, p_partkey LIMIT 200""")
+def srh_index(t: _T) -> DataFrame:
+    return indexes.index_search(t("part"), "p_partkey", "small ring", ["p_name"], fuzzy=False, limit=200).select("p_partkey", "score")
+
+
+@query("SELECT * FROM (SELECT p_partkey, round(CASE WHEN n = 'ring' THEN 50.0 ELSE 0.0 END + CASE WHEN list_contains(w, 'ring') THEN 10.0 WHEN len(list_filter(w, lambda x: x LIKE 'ring%')) > 0 THEN 6.5 ELSE 0.0 END + CASE WHEN n = 'sm' THEN 50.0 ELSE 0.0 END + CASE WHEN list_contains(w, 'sm') THEN 10.0 WHEN len(list_filter(w, lambda x: x LIKE 'sm%')) > 0 THEN 6.5 ELSE 0.0 END, 3)::DOUBLE AS score FROM (SELECT p_partkey, lower(p_name) AS n, regexp_split_to_array(lower(p_name), '[^a-z0-9._:-]+') AS w FROM part)) WHERE score > 0")
+def srh_union(t: _T) -> DataFrame:
+    return indexes.union_search(t("part"), "p_partkey", "ring sm", ["p_name"])
+
+
+@query("SELECT speciedex_id, count(*) AS n FROM taxa WHERE coalesce(contains(lower(scientific_name), 'glad'), FALSE) OR coalesce(contains(lower(canonical_name), 'glad'), FALSE) GROUP BY 1")
+def srh_name_union(t: _T) -> DataFrame:
+    df = t("taxa").drop("name")
+    comp = searchlang.Compiler(df, ["scientific_name"], fuzzy=False)
+    return df.where(comp.match(searchlang.parse("name:glad"))).groupBy("speciedex_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH s AS (SELECT epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS b FROM events), c AS (SELECT CAST(least(59, floor((epoch_us(ts) - a) / (b - a) * 60)) AS INTEGER) AS bucket, count(*)::DOUBLE AS value FROM events, s GROUP BY 1) SELECT bucket, value, round(value / max(value) OVER (), 6) AS share FROM c")
+def win_slider(t: _T) -> DataFrame:
+    return indexes.slider(t("events"), "ts")
+
+
+@query("SELECT p_partkey, (SELECT count(*) FROM (SELECT unnest(quantile_cont(p_retailprice, [0.2, 0.4, 0.6, 0.8])) AS c FROM part) WHERE c < p.p_retailprice)::DOUBLE AS scaled FROM part p")
+def scl_quantiles(t: _T) -> DataFrame:
+    return indexes.heat_scale(t("part"), "p_retailprice", "quantile").select("p_partkey", "scaled")
+
+
+@query("SELECT p_partkey, round((p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()), 6) AS scaled FROM part")
+def scl_heat(t: _T) -> DataFrame:
+    return _r(indexes.heat_scale(t("part"), "p_retailprice").select("p_partkey", "scaled"))
+
+
+@query("SELECT event_id FROM events WHERE abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15 12:00:00')) <= 6 * 3600000000")
+def flt_time_window(t: _T) -> DataFrame:
+    return t("events").where(indexes.within_window(F.col("ts").cast("timestamp"), "2024-01-15 12:00:00", 12)).select("event_id")
+
+
+@query("SELECT event_id FROM (SELECT event_id, sum(event_id % 100) OVER (ORDER BY ts DESC, event_id) AS s FROM events) WHERE s > 200000")
+def ext_evict(t: _T) -> DataFrame:
+    return indexes.evict(t("events").withColumn("bytes", F.col("event_id") % 100), "bytes", "ts", 200_000, ["event_id"]).select("event_id")
+
+
+@query("SELECT event_type, max(ts) AS newest, CASE WHEN epoch_us(TIMESTAMP '2024-02-01') - epoch_us(max(ts)) > 48 * 3600000000 THEN 'warning' ELSE 'ok' END AS status FROM events GROUP BY 1")
+def res_freshness(t: _T) -> DataFrame:
+    return indexes.freshness(t("events"), "event_type", "ts", "2024-02-01 00:00:00").select("event_type", "newest", "status")
+
+
+@query("SELECT 'orphan_source_ids' AS \"check\", count(*) AS count FROM source_ids WHERE speciedex_id IS NOT NULL AND speciedex_id NOT IN (SELECT speciedex_id FROM taxa) UNION ALL SELECT 'orphan_synonyms', count(*) FROM synonyms WHERE speciedex_id IS NOT NULL AND speciedex_id NOT IN (SELECT speciedex_id FROM taxa) UNION ALL SELECT 'missing_key', count(*) FILTER (WHERE trim(coalesce(speciedex_id, '')) = '') FROM taxa UNION ALL SELECT 'repeated_key', count(*) FROM (SELECT speciedex_id FROM taxa GROUP BY 1 HAVING count(*) > 1)")
+def res_verify(t: _T) -> DataFrame:
+    return indexes.verify_index(t("taxa"), {"source_ids": t("source_ids"), "synonyms": t("synonyms")})

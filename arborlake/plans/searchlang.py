@@ -37,6 +37,14 @@ IDENTIFIERS = [
 WEIGHTS = {8: ("speciedex_id", "uuid", "sha1", "sha256", "sha384", "sha512", "md5", "doi"), 7: ("scientific_name",), 6: ("common_name",), 4: ("genus", "species", "family", "order", "class", "phylum", "kingdom")}
 
 
+# Fields that stand for several columns, where the record has no column of that name.
+UNIONS = {
+    "name": ["scientific_name", "common_name", "canonical_name", "accepted_name"],
+    "location": ["continent", "country", "state", "province", "county", "city", "locality", "island", "ocean", "sea", "river", "lake"],
+    "scientific_name": ["canonical_name", "accepted_name"], "common_name": ["vernacular_name", "preferred_common_name"], "speciedex_id": ["speciedex_key", "canonical_id", "id"],
+}
+
+
 class SearchError(ValueError):
     """The search string cannot be read."""
 
@@ -228,11 +236,18 @@ class Compiler:
         if not self.text_fields:
             self.text_fields = [f for f in TEXT_FIELDS if f in self.df.columns] or [f.name for f in self.df.schema if isinstance(f.dataType, T.StringType)]
 
+    def columns(self, name: str) -> list[str]:
+        """Columns of a field: its own, its twin in camel case, or those of its union that are there."""
+        camel = re.sub(r"_([a-z])", lambda m: m[1].upper(), name)
+        return [name] if name in self.df.columns else [camel] if camel in self.df.columns else [c for c in UNIONS.get(name, []) if c in self.df.columns]
+
     def vals(self, name: str) -> Column:
-        return F.transform(C.values(self.df, name, "drop"), lambda x: x.cast("string"))
+        parts = [F.transform(C.values(self.df, c, "drop"), lambda x: x.cast("string")) for c in self.columns(name)]
+        return parts[0] if len(parts) == 1 else F.flatten(F.array(*parts)) if parts else F.array().cast("array<string>")
 
     def kind(self, name: str) -> T.DataType:
-        return C.element_type(C.field_type(self.df, name))
+        own = self.columns(name)
+        return C.element_type(C.field_type(self.df, own[0])) if len(own) == 1 else T.StringType()
 
     def match(self, node: Node) -> Column:
         if node.kind == "all":
@@ -256,8 +271,8 @@ class Compiler:
                 out = out | F.exists(self.vals(f), lambda x: self.text_hit(F.lower(x), t))
             return out
         if t.field == "has":
-            return F.size(F.filter(self.vals(normalize_field(t.value)), lambda x: F.trim(x) != "")) > 0 if normalize_field(t.value) in self.df.columns else F.lit(False)
-        if t.field not in self.df.columns:
+            return F.size(F.filter(self.vals(normalize_field(t.value)), lambda x: F.trim(x) != "")) > 0 
+        if not self.columns(t.field):
             return F.lit(False)
         return C.two_valued(F.exists(self.vals(t.field), lambda x: self.field_hit(x, self.kind(t.field), t)))
 
@@ -312,8 +327,6 @@ class Compiler:
                 continue
             want = t.value.strip().lower()
             for f in [t.field] if t.field else self.text_fields:
-                if f not in self.df.columns:
-                    continue
                 near = self.fuzzy_hit if self.fuzzy else (lambda low, w: F.lit(False))
                 points = F.aggregate(self.vals(f), F.lit(0), lambda a, x: a + F.when(F.lower(F.trim(x)) == want, 10).when(F.lower(F.trim(x)).startswith(want), 6).when(F.lower(x).contains(want), 3).when(near(F.lower(x), want), 1).otherwise(0))
                 out = out + points * weight(f)
