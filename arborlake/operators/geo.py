@@ -74,11 +74,13 @@ def centroid(df: DataFrame, by: list[str] = ()) -> DataFrame:
 def bounds(df: DataFrame) -> DataFrame:
     """south, north, west, east; west and east leave out the largest gap between neighbouring longitudes, so a set around the antimeridian stays small."""
     lat = df.agg(F.min("lat").alias("south"), F.max("lat").alias("north"))
-    lng = df.select("lng").distinct()
-    w = Window.orderBy("lng")  # distinct longitudes of the answer's precision
-    ends = lng.agg(F.min("lng").alias("lo"), F.max("lng").alias("hi"))
-    gaps = lng.withColumn("next", F.lead("lng").over(w)).where("next is not null").select((F.col("next") - F.col("lng")).alias("gap"), F.col("next").alias("west"), F.col("lng").alias("east"))
-    wrap = ends.select((360 - (F.col("hi") - F.col("lo"))).alias("gap"), F.col("lo").alias("west"), F.col("hi").alias("east"))
+    lng = df.select("lng").distinct().withColumn("part", F.floor(F.col("lng") * 4))
+    # Gaps within quarter degrees in parallel, gaps between them over at most 1,440 rows.
+    inner = lng.withColumn("next", F.lead("lng").over(Window.partitionBy("part").orderBy("lng"))).where("next is not null").select(F.col("next").alias("west"), F.col("lng").alias("east"))
+    parts = lng.groupBy("part").agg(F.min("lng").alias("lo"), F.max("lng").alias("hi"))
+    outer = parts.withColumn("next", F.lead("lo").over(Window.orderBy("part"))).where("next is not null").select(F.col("next").alias("west"), F.col("hi").alias("east"))
+    gaps = inner.unionByName(outer).withColumn("gap", F.col("west") - F.col("east"))
+    wrap = parts.agg(F.min("lo").alias("west"), F.max("hi").alias("east")).withColumn("gap", 360 - (F.col("east") - F.col("west")))
     best = gaps.unionByName(wrap).agg(F.max_by(F.struct("west", "east"), F.struct("gap", -F.col("west"))).alias("b"))
     return lat.crossJoin(best).select("south", "north", "b.west", "b.east")
 
