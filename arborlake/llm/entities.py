@@ -1,6 +1,6 @@
 """Matching entities across sources without keys (problem 5).
 
-Records of both tables become bags of tokens from all attributes: character grams and stems of the name, surnames,
+Records of both tables become bags of tokens from all attributes: combined pieces of genus and epithet, surnames,
 family and kingdom. An inverted index scores them by BM25. A query's tokens are split by their greatest possible
 score: those that together stay below the score that any match must reach start no candidates, so the long lists of
 common tokens are read for no one, and still no pair above that score is lost. The best candidates are scored in
@@ -93,18 +93,35 @@ def record(name: str | None, full: str | None, rank: str | None, authorship: str
     return (rank or "").strip().lower(), words, people, fam, KINGDOMS.get(fold(canonical(kingdom or "")), "")
 
 
+def _letters(word: str) -> str:
+    """The word's letters in order, which a swap leaves alone."""
+    return "".join(sorted(word))
+
+
 def tokens(rec: tuple) -> list[str]:
-    """Tokens of a record: rank-bound grams and stems of the name, surname beginnings, family and kingdom."""
+    """Tokens of a record: combined pieces of genus and last epithet, their initial with an author or family, and the single attributes.
+
+    Pieces are the word, its beginning, its end and its sorted letters: a slip in a word leaves one of the latter three
+    whole, so names with a slip in either word, and mostly in both, still share a combined token. Combined tokens are rare however large the tables are, while
+    grams of single words would meet ever more records.
+    """
     rank, words, people, fam, kingdom = rec
-    out = []
-    for i, w in enumerate(words):
-        if w.endswith("."):
-            out.append(f"{i}.{w[0]}")
-            continue
-        s = w if i == 0 else stem(w)
-        out += [f"{'g' if i == 0 else 'e'}{rank[:2]}{x}" for x in {f"^{s}$"[j : j + (5 if i == 0 else 4)] for j in range(max(1, len(s) - (2 if i == 0 else 1)))}]
-        out.append(("G:" if i == 0 else "E:") + s)
-        out.append(f"{i}.{w[0]}")
+    if not words:
+        return []
+    r, g, out = rank[:2], words[0], []
+    if len(words) == 1:
+        out += [f"{r}|{g}", f"{r}<{g[:5]}", f"{r}>{g[-5:]}", f"{r}~{_letters(g)}"]
+    else:
+        s = stem(words[-1].rstrip("."))
+        if not g.endswith("."):
+            if len(s) < 7:
+                out += [f"{r}|{g}|<<{s[:2]}", f"{r}|{g}|>>{s[-2:]}"]
+            heads, tails = [g, "<" + g[:5], ">" + g[-5:]], [s, "<" + s[:3], ">" + s[-3:]]
+            out += [f"{r}|{a}|{b}" for a in heads for b in tails] + [f"{r}|{g}|~{_letters(s)}", f"{r}|~{_letters(g)}|{s}"]
+        out += [f"{r}|{g[0]}.|{s}|{p[0][:4]}" for p in people] + ([f"{r}|{g[0]}.|{s}|f:{fam[:5]}"] if fam else [])
+        out += ["E:" + stem(w) for w in words[1:]]
+    if not g.endswith("."):
+        out.append("G:" + g)
     out += [f"a:{p[0][:4]}" for p in people]
     out += [f"f:{fam[:5]}"] if fam else []
     out += [f"k:{kingdom}"] if kingdom else []
@@ -184,7 +201,7 @@ def signatures(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     return plain.select(*keys, "raw").join(parsed.select("raw", "sig"), "raw").select(*keys, "sig").distinct(), parsed.drop("raw").dropDuplicates(["sig"])
 
 
-def retrieve(queries: DataFrame, docs: DataFrame, share: float = 0.42, top: int = 10) -> DataFrame:
+def retrieve(queries: DataFrame, docs: DataFrame, share: float = 0.15, top: int = 10) -> DataFrame:
     """q, d, score, self, known: the `top` best documents of each query by BM25 (ties kept) with at least `share` of its own score."""
     total, mean = docs.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
     posts = docs.select(F.col("sig").alias("d"), F.size("tokens").alias("len"), F.explode("tokens").alias("t"))
@@ -213,7 +230,7 @@ def retrieve(queries: DataFrame, docs: DataFrame, share: float = 0.42, top: int
     return best.join(known, "q", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
 
 
-def match(taxa: DataFrame, others: DataFrame, share: float = 0.42, top: int = 10) -> DataFrame:
+def match(taxa: DataFrame, others: DataFrame, share: float = 0.15, top: int = 10) -> DataFrame:
     """speciedex_id, provider, provider_id, confidence of the pairs that are the same taxon at the same rank.
 
     Null and empty attributes are missing evidence; a record without a name or with an unknown rank matches by what
@@ -247,6 +264,6 @@ def match(taxa: DataFrame, others: DataFrame, share: float = 0.42, top: int = 10
     # Mutual: no record of the same provider is far nearer to the taxon; judged between distinct records, before their keys fan out.
     pairs = checkpoint(good.select("d", "q", (F.col("score") / F.col("self")).alias("near"), "confidence").join(o_keys.select(F.col("sig").alias("q"), "provider").distinct(), "q"))
     most = pairs.groupBy("d", "provider").agg(F.max("near").alias("most"))
-    near = pairs.join(most.withColumnsRenamed({"d": "d2", "provider": "p2"}), (F.col("d") == F.col("d2")) & F.col("provider").eqNullSafe(F.col("p2"))).where(F.col("near") >= 0.5 * F.col("most")).select("d", "q", F.col("provider").alias("of"), "confidence")
+    near = pairs.join(most.withColumnsRenamed({"d": "d2", "provider": "p2"}), (F.col("d") == F.col("d2")) & F.col("provider").eqNullSafe(F.col("p2"))).where(F.col("near") >= 0.2 * F.col("most")).select("d", "q", F.col("provider").alias("of"), "confidence")
     out = near.join(o_keys, (near.q == o_keys.sig) & near.of.eqNullSafe(o_keys.provider)).drop("sig").join(t_keys, F.col("d") == t_keys.sig)
     return out.groupBy("speciedex_id", "provider", "provider_id").agg(F.round(F.max("confidence"), 6).alias("confidence"))
