@@ -15,8 +15,11 @@ QUANTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 def summary(x: Column, prefix: str = "", quantiles: tuple[float, ...] = QUANTILES) -> list[Column]:
     """count, sum, min, max, mean, median, sample variance (0 for one value), stddev and interpolated percentiles."""
     var = F.when(F.count(x) > 0, F.coalesce(F.var_samp(x), F.lit(0.0)))
-    out = {"count": F.count(x), "sum": F.sum(x), "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "median": F.percentile(x, F.lit(0.5)), "variance": var, "stddev": F.sqrt(var)}
-    out |= {f"p{round(q * 100)}": F.percentile(x, F.lit(q)) for q in quantiles}
+    points = sorted({0.5, *quantiles})
+    cut = F.percentile(x, F.array(*map(F.lit, points)))  # the same aggregate for all, so values are gathered once
+    at = lambda q: cut[points.index(q)]
+    out = {"count": F.count(x), "sum": F.sum(x), "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "median": at(0.5), "variance": var, "stddev": F.sqrt(var)}
+    out |= {f"p{round(q * 100)}": at(q) for q in quantiles}
     return [c.alias(prefix + k) for k, c in out.items()]
 
 
@@ -31,9 +34,11 @@ def profile(df: DataFrame, fields: list[str]) -> DataFrame:
     cells = [F.struct(F.lit(f).alias("field"), F.nullif(F.trim(F.col(f).cast("string")), F.lit("")).alias("value"), C.numeric(F.col(f), C.field_type(df, f)).alias("x")) for f in fields]
     rows = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
     nulls = F.count_if(F.col("value").isNull())
-    return rows.groupBy("field").agg(
-        F.count(F.lit(1)).alias("records"), nulls.alias("nulls"), F.round(nulls / F.count(F.lit(1)), 6).alias("null_rate"), F.count_distinct("value").alias("distinct_values"),
-        *summary(F.col("x"), "num_"))
+    base = rows.groupBy("field").agg(F.count(F.lit(1)).alias("records"), nulls.alias("nulls"), F.round(nulls / F.count(F.lit(1)), 6).alias("null_rate"), *summary(F.col("x"), "num_"))
+    # Distinct values apart from the percentiles, whose buffers would else go through every phase of a distinct aggregate.
+    kinds = rows.where("value is not null").groupBy("field", "value").agg(F.lit(1)).groupBy("field").agg(F.count(F.lit(1)).alias("distinct_values"))
+    out = base.join(kinds, "field", "left").withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)))
+    return out.select("field", "records", "nulls", "null_rate", "distinct_values", *[c for c in base.columns if c.startswith("num_")])
 
 
 def type_histogram(df: DataFrame, fields: list[str]) -> DataFrame:
