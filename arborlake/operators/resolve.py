@@ -114,8 +114,9 @@ def duplicate_pairs(taxa: DataFrame, key: str = "speciedex_id", hot: int = 1000)
     """a, b, score, verdict of pairs of one block scored at least 0.68.
 
     Blocks are the identity key and the canonical name with its rank. Exact copies share a signature first, so that a
-    block pairs distinct contents only; contents of one signature are linked to its smallest id with score 1. A block
-    of more than `hot` contents is split further by its authorship keys, in which equal ones meet.
+    block pairs distinct contents only; contents of one signature are linked to its smallest id with score 1. One side
+    of a block is cut into slices of about `hot` contents, each of which meets the whole other side, so that tasks share
+    a large block and no pair depends on its size.
     """
     fields = ["canonical_name", "scientific_name", "authorship", "rank", "kingdom", "phylum", "class_name", "order_name", "family", "genus", "status"]
     rows = taxa.select(key, *fields).dropDuplicates([key]).withColumn("sig", F.xxhash64(*[X.key(F.col(c)) for c in fields]))
@@ -123,8 +124,9 @@ def duplicate_pairs(taxa: DataFrame, key: str = "speciedex_id", hot: int = 1000)
     copies = rows.join(heads.select("sig", F.col("id").alias("a")), "sig").where(F.col(key) != F.col("a")).select("a", F.col(key).alias("b"), F.lit(1.0).alias("score"))
     block = F.concat_ws("|", X.key(F.col("canonical_name")), X.key(F.col("rank")))
     keyed = heads.withColumn("block", block)
-    size = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    keyed = keyed.join(size, "block").withColumn("block", F.when(F.col("n") > hot, F.concat_ws("|", "block", F.array_join(X.authors_of(F.col("authorship")), ","))).otherwise(F.col("block")))
+    size = keyed.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("slices"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    keyed = keyed.join(size, "block")
+    left, right = keyed.withColumn("slice", F.pmod(F.xxhash64("id"), "slices").cast("int")), keyed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     c = lambda s, f: F.col(f"{s}.{f}")
     w = DUPLICATE_WEIGHTS
     line = X.lineage_similarity({r: c("x", f) for r, f in (("kingdom", "kingdom"), ("phylum", "phylum"), ("class", "class_name"), ("order", "order_name"), ("family", "family"), ("genus", "genus"))}, {r: c("y", f) for r, f in (("kingdom", "kingdom"), ("phylum", "phylum"), ("class", "class_name"), ("order", "order_name"), ("family", "family"), ("genus", "genus"))})
@@ -134,7 +136,7 @@ def duplicate_pairs(taxa: DataFrame, key: str = "speciedex_id", hot: int = 1000)
     ident = X.identity_key(c("x", "canonical_name"), c("x", "rank"), c("x", "kingdom"), c("x", "authorship")) == X.identity_key(c("y", "canonical_name"), c("y", "rank"), c("y", "kingdom"), c("y", "authorship"))
     strong = (X.key(c("x", "canonical_name")) == X.key(c("y", "canonical_name"))) & (same("rank") == 1) & (line >= 0.9) & (author >= 0.85)
     score = F.greatest(score, F.when(ident, EXACT).otherwise(0.0), F.when(strong, 0.95).otherwise(0.0))
-    pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), score.alias("score")).where(F.col("score") >= REVIEW)
+    pairs = left.alias("x").join(right.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.slice") == F.col("y.slice")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), score.alias("score")).where(F.col("score") >= REVIEW)
     verdict = F.when(F.col("score") >= EXACT, "exact").when(F.col("score") >= PROBABLE, "probable").otherwise("review")
     return pairs.unionByName(copies).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("score", 6).alias("score"), verdict.alias("verdict"))
 

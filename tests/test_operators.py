@@ -139,6 +139,20 @@ def test_reconcile(spark):
     assert got == {"1": ("match", "s1", 86.24), "2": ("conflict", None, 66.64), "3": ("conflict", None, 86.24), "4": ("create", None, None), "5": ("match", "s9", None)}
 
 
+_TAXON = {"speciedex_id": "", "canonical_name": "Aus bus", "scientific_name": "Aus bus L.", "authorship": "L.", "rank": "species", "kingdom": "Animalia", "phylum": "P", "class_name": "C", "order_name": "O", "family": "F", "genus": "Aus", "status": "accepted"}
+
+
+def _taxa(spark, *changes):
+    rows = [tuple((_TAXON | x).values()) for x in changes]
+    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in _TAXON))
+
+
+def test_duplicates_do_not_depend_on_block_size(spark):
+    taxa = _taxa(spark, *[{"speciedex_id": f"i{n}", "authorship": a} for n, a in enumerate(["L.", None, "L. & Mill.", "Mill.", "Linnaeus", "L., 1758"])])
+    pairs = {h: sorted(tuple(r) for r in resolve.duplicate_pairs(taxa, hot=h).collect()) for h in (1, 2, 1000)}
+    assert len(pairs[1000]) == 15 and pairs[1] == pairs[2] == pairs[1000]
+
+
 def test_components_and_clusters(spark):
     edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(0, 60)] + [("z1", "z2"), ("z2", "z3"), ("z1", "z1")], "a string, b string")
     nodes = spark.createDataFrame([(f"n{i:03d}",) for i in range(61)] + [("z1",), ("z2",), ("z3",), ("lone",)], "node string")
