@@ -68,20 +68,24 @@ def distance(pattern: list[int], text: list[int]) -> int:
 
 
 class Items:
-    """Pieces and words of a block of test items. Pieces of stock phrases, which more than `stock` items share, start no search."""
+    """Pieces and words of a block of test items; items of the same words are one entry.
 
-    def __init__(self, rows: list[tuple[int, str | None]], stock: int = 3):
+    Every piece starts a search. Stock phrases are told by the verification, as a phrase shorter than a passage never
+    leaves few enough errors.
+    """
+
+    def __init__(self, rows: list[tuple[int, str | None]]):
         self.ids = {}
-        self.items: dict[int, list[int]] = {}
+        same: dict[tuple[int, ...], list[int]] = {}
         for item, text in rows:
-            w = [self.ids.setdefault(x, len(self.ids)) for x in words(text)]
+            w = tuple(self.ids.setdefault(x, len(self.ids)) for x in words(text))
             if len(w) >= WINDOWS[0][0]:
-                self.items[item] = w
+                same.setdefault(w, []).append(item)
+        self.items, self.names = [list(w) for w in same], list(same.values())
         self.pieces: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for item, w in self.items.items():
+        for item, w in enumerate(self.items):
             for i in range(len(w) - PIECE + 1):
                 self.pieces.setdefault(tuple(w[i : i + PIECE]), []).append((item, i))
-        self.pieces = {k: v for k, v in self.pieces.items() if len({i for i, _ in v}) <= stock}
 
     def leaked(self, text: str | None) -> list[int]:
         """The items of which the text holds a passage."""
@@ -98,7 +102,7 @@ class Items:
         for item, i, p in hits:
             if item not in found and self._verify(self.items[item], w, i, p, tried, item):
                 found[item] = True
-        return list(found)
+        return [x for item in found for x in self.names[item]]
 
     @staticmethod
     def _verify(item: list[int], doc: list[int], i: int, p: int, tried: set, name: int) -> bool:

@@ -110,33 +110,49 @@ def reconcile(new: DataFrame, taxa: DataFrame, source_ids: DataFrame, weights: d
     return j.select(*key, action.alias("action"), target.alias("speciedex_id"), F.round("score", 6).alias("score"), reason.alias("reason"))
 
 
-def duplicate_pairs(taxa: DataFrame, key: str = "speciedex_id", hot: int = 1000) -> DataFrame:
-    """a, b, score, verdict of pairs of one block scored at least 0.68.
-
-    Blocks are the identity key and the canonical name with its rank. Exact copies share a signature first, so that a
-    block pairs distinct contents only; contents of one signature are linked to its smallest id with score 1. One side
-    of a block is cut into slices of about `hot` contents, each of which meets the whole other side, so that tasks share
-    a large block and no pair depends on its size.
+def duplicate_pairs(taxa: DataFrame, key: str = "speciedex_id", hot: int = 1000, providers: DataFrame | None = None, synonyms: DataFrame | None = None) -> DataFrame:
+    """a, b, score, verdict of candidate pairs scored at least 0.68.
+
+    Candidates share the canonical name with its rank (so also the identity key), or the scientific name, or a name or
+    synonym of one is a synonym of the other. `providers` has a provider and `synonyms` a synonym_key of each key; without
+    them these sets are empty. Exact copies share a signature first, so that distinct contents only are paired; contents
+    of one signature are linked to its smallest id with score 1. One side of what shares a value is cut into slices of
+    about `hot` contents, each of which meets the whole other side, so that tasks share a large block and no pair
+    depends on its size.
     """
     fields = ["canonical_name", "scientific_name", "authorship", "rank", "kingdom", "phylum", "class_name", "order_name", "family", "genus", "status"]
-    rows = taxa.select(key, *fields).dropDuplicates([key]).withColumn("sig", F.xxhash64(*[X.key(F.col(c)) for c in fields]))
+    rows = taxa.select(key, *fields).dropDuplicates([key])
+    for name, df, c in (("providers", providers, "provider"), ("synonyms", synonyms, "synonym_key")):
+        if df is not None:
+            rows = rows.join(df.select(key, X.key(F.col(c)).alias("v")).where("v <> ''").groupBy(key).agg(F.array_sort(F.collect_set("v")).alias(name)), key, "left")
+        rows = rows.withColumn(name, F.coalesce(name, F.array().cast("array<string>")) if df is not None else F.array().cast("array<string>"))
+    rows = checkpoint(rows.withColumn("sig", F.xxhash64(*[X.key(F.col(c)) for c in fields], F.to_json(F.struct("providers", "synonyms")))))
+    fields = [*fields, "providers", "synonyms"]
     heads = checkpoint(rows.withColumnRenamed(key, "id").groupBy("sig").agg(F.min("id").alias("id"), *[F.min(c).alias(c) for c in fields]))
     copies = rows.join(heads.select("sig", F.col("id").alias("a")), "sig").where(F.col(key) != F.col("a")).select("a", F.col(key).alias("b"), F.lit(1.0).alias("score"))
-    block = F.concat_ws("|", X.key(F.col("canonical_name")), X.key(F.col("rank")))
-    keyed = heads.withColumn("block", block)
-    size = keyed.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("slices"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    keyed = keyed.join(size, "block")
-    left, right = keyed.withColumn("slice", F.pmod(F.xxhash64("id"), "slices").cast("int")), keyed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    names = F.array(F.concat(F.lit("n|"), X.key(F.col("canonical_name")), F.lit("|"), X.key(F.col("rank"))), F.when(~blank("scientific_name"), F.concat(F.lit("f|"), X.key(F.col("scientific_name")))))
+    own = F.filter(F.array(X.key(F.col("canonical_name")), X.key(F.col("scientific_name"))), lambda v: v != "")
+    terms = lambda vs: F.transform(vs, lambda v: F.concat(F.lit("s|"), v))
+    met = lambda values: heads.select("id", F.explode(F.array_distinct(F.array_compact(values))).alias("block"))
+    right = met(F.concat(names, terms(F.col("synonyms"))))
+    size = right.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("slices"))
+    left = met(F.concat(names, terms(F.concat(F.col("synonyms"), own)))).join(size, "block").withColumn("slice", F.pmod(F.xxhash64("id"), "slices").cast("int"))
+    right = right.join(size, "block").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    found = left.alias("x").join(right.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.slice") == F.col("y.slice")) & (F.col("x.id") != F.col("y.id")))
+    found = found.select(F.least("x.id", "y.id").alias("p"), F.greatest("x.id", "y.id").alias("q")).distinct()
     c = lambda s, f: F.col(f"{s}.{f}")
     w = DUPLICATE_WEIGHTS
     line = X.lineage_similarity({r: c("x", f) for r, f in (("kingdom", "kingdom"), ("phylum", "phylum"), ("class", "class_name"), ("order", "order_name"), ("family", "family"), ("genus", "genus"))}, {r: c("y", f) for r, f in (("kingdom", "kingdom"), ("phylum", "phylum"), ("class", "class_name"), ("order", "order_name"), ("family", "family"), ("genus", "genus"))})
     author = X.authority_similarity(c("x", "authorship"), c("y", "authorship"))
     same = lambda f: F.when((X.key(c("x", f)) == "") & (X.key(c("y", f)) == ""), 0.5).otherwise((X.key(c("x", f)) == X.key(c("y", f))).cast("double"))
-    score = w["canonical_name"] * X.text_similarity(c("x", "canonical_name"), c("y", "canonical_name")) + w["scientific_name"] * X.text_similarity(c("x", "scientific_name"), c("y", "scientific_name")) + w["authorship"] * author + w["rank"] * same("rank") + w["kingdom"] * same("kingdom") + w["lineage"] * line + w["status"] * X.status_similarity(c("x", "status"), c("y", "status")) + (w["provider_support"] + w["synonym_support"]) * 0.5
+    named = lambda s, o: (X.key(c(s, "canonical_name")) != "") & F.array_contains(c(o, "synonyms"), X.key(c(s, "canonical_name")))
+    shared = F.coalesce(F.try_divide(F.size(F.array_intersect(c("x", "synonyms"), c("y", "synonyms"))), F.size(F.array_union(c("x", "synonyms"), c("y", "synonyms")))), F.lit(0.0))
+    synonym = F.when(named("x", "y") | named("y", "x"), 1.0).otherwise(shared)
+    score = w["canonical_name"] * X.text_similarity(c("x", "canonical_name"), c("y", "canonical_name")) + w["scientific_name"] * X.text_similarity(c("x", "scientific_name"), c("y", "scientific_name")) + w["authorship"] * author + w["rank"] * same("rank") + w["kingdom"] * same("kingdom") + w["lineage"] * line + w["status"] * X.status_similarity(c("x", "status"), c("y", "status")) + w["provider_support"] * X.set_similarity(c("x", "providers"), c("y", "providers")) + w["synonym_support"] * synonym
     ident = X.identity_key(c("x", "canonical_name"), c("x", "rank"), c("x", "kingdom"), c("x", "authorship")) == X.identity_key(c("y", "canonical_name"), c("y", "rank"), c("y", "kingdom"), c("y", "authorship"))
     strong = (X.key(c("x", "canonical_name")) == X.key(c("y", "canonical_name"))) & (same("rank") == 1) & (line >= 0.9) & (author >= 0.85)
     score = F.greatest(score, F.when(ident, EXACT).otherwise(0.0), F.when(strong, 0.95).otherwise(0.0))
-    pairs = left.alias("x").join(right.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.slice") == F.col("y.slice")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), score.alias("score")).where(F.col("score") >= REVIEW)
+    pairs = found.join(heads.alias("x"), F.col("p") == F.col("x.id")).join(heads.alias("y"), F.col("q") == F.col("y.id")).select(F.col("p").alias("a"), F.col("q").alias("b"), score.alias("score")).where(F.col("score") >= REVIEW)
     verdict = F.when(F.col("score") >= EXACT, "exact").when(F.col("score") >= PROBABLE, "probable").otherwise("review")
     return pairs.unionByName(copies).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("score", 6).alias("score"), verdict.alias("verdict"))
 
@@ -167,13 +183,17 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
 
 
 def cluster_summary(pairs: DataFrame, least: float = PROBABLE) -> DataFrame:
-    """cluster, size, max, min and mean score over the probable pairs of each cluster."""
+    """cluster, size, max, min and mean score over the probable pairs of each cluster; action is merge if all found pairs of its members are probable, else review."""
+    pairs = checkpoint(pairs)
     good = pairs.where(F.col("score") >= least)
     nodes = good.select(F.col("a").alias("node")).unionByName(good.select(F.col("b").alias("node"))).distinct()
     c = checkpoint(components(nodes, good))
     size = c.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     stats = good.join(c, good.a == c.node).groupBy("cluster").agg(F.max("score").alias("max_score"), F.min("score").alias("min_score"), F.round(F.avg("score"), 6).alias("avg_score"))
-    return size.join(stats, "cluster")
+    # A review pair that leaves the cluster counts too: it would be a member pair if such pairs linked.
+    weak = pairs.where(F.col("score") < least)
+    weak = weak.select(F.explode(F.array("a", "b")).alias("node")).join(c, "node").select("cluster").distinct().withColumn("action", F.lit("review"))
+    return size.join(stats, "cluster").join(weak, "cluster", "left").withColumn("action", F.coalesce("action", F.lit("merge")))
 
 
 def preferred(members: DataFrame, taxa: DataFrame, providers: DataFrame, key: str = "speciedex_id") -> DataFrame:

@@ -575,7 +575,7 @@ def res_reconcile(t: _T) -> DataFrame:
 
 @query()
 def res_duplicates(t: _T) -> DataFrame:
-    return resolve.cluster_summary(resolve.duplicate_pairs(t("taxa")))
+    return resolve.cluster_summary(resolve.duplicate_pairs(t("taxa"), providers=t("assertions"), synonyms=t("synonyms")))
 
 
 # --- lists, documents and streams -------------------------------------------------------------------------------

@@ -106,6 +106,18 @@ def test_leaks(spark):
     assert leaks.leaks(docs.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0 and leaks.leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
 
+def test_leaks_of_repeated_items(spark):
+    w = [f"word{i}" for i in range(60)]
+    revisions = [(n, " ".join("new" + str(n) if i == 4 * n + 1 else x for i, x in enumerate(w))) for n in range(5)]
+    phrase = "explain your answer in two short sentences"
+    stock = [(n, phrase + " " + " ".join(f"item{n}x{i}" for i in range(20))) for n in range(10, 16)]
+    items = spark.createDataFrame([*revisions, *[(n, " ".join(w)) for n in range(5, 9)], *stock], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "see " + " ".join(w[25:45]) + " there"), (2, "please " + phrase + " now"), (3, stock[0][1])], "doc_id bigint, text string")
+    for chars in (10, 1000, 8_000_000):
+        got = sorted((r.doc_id, r.item_id) for r in leaks.leaks(docs, "doc_id", "text", items, "item_id", "text", block_chars=chars).collect())
+        assert got == [*[(1, n) for n in range(9)], (3, 10)]
+
+
 # --- problem 10 -------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("text,want", [
     ("mail a.b+c@x-y.example now", [("email", "a.b+c@x-y.example")]), ("or a_b [at] x dot y dot test.", [("email", "a_b [at] x dot y dot test")]), ("Call +49 30 23125 803.", [("phone", "+49 30 23125 803")]), ("tel. (305) 555 0187;", [("phone", "(305) 555 0187")]),

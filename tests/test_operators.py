@@ -153,6 +153,23 @@ def test_duplicates_do_not_depend_on_block_size(spark):
     assert len(pairs[1000]) == 15 and pairs[1] == pairs[2] == pairs[1000]
 
 
+def test_duplicate_candidates_and_support(spark):
+    taxa = _taxa(spark, {"speciedex_id": "a"}, {"speciedex_id": "b", "rank": "subspecies"}, {"speciedex_id": "c", "canonical_name": "Aus cus", "scientific_name": "Aus cus L."}, {"speciedex_id": "d", "canonical_name": "Aus dus", "scientific_name": "Aus dus L."}, {"speciedex_id": "e", "canonical_name": "Aus eus", "scientific_name": "Aus eus L."})
+    synonyms = spark.createDataFrame([("c", "AUS  bus"), ("d", "old name"), ("e", "Old Name"), ("e", "other")], "speciedex_id string, synonym_key string")
+    providers = spark.createDataFrame([("a", "P"), ("a", "q"), ("c", "p"), ("d", "p"), ("e", "p")], "speciedex_id string, provider string")
+    got = {(r.a, r.b): r.score for r in resolve.duplicate_pairs(taxa, providers=providers, synonyms=synonyms).collect()}
+    # a and b meet by the scientific name, c by its synonym, d and e by a synonym of both
+    name = 0.6 * 1 / 3 + 0.15 + 0.25
+    full = 0.6 * 2 / 4 + 0.15 + 0.25
+    rest = 0.30 * name + 0.08 * full + 0.14 + 0.10 + 0.08 + 0.18 + 0.04
+    assert got[("a", "b")] == pytest.approx(0.82 + 0.05 * 0.25, abs=1e-6)
+    assert got[("a", "c")] == pytest.approx(rest + 0.05 * 0.5 + 0.03, abs=1e-6)
+    assert got[("d", "e")] == pytest.approx(rest + 0.05 + 0.03 * 0.5, abs=1e-6)
+    assert set(got) == {("a", "b"), ("a", "c"), ("b", "c"), ("d", "e")}
+    pairs = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.9), ("a", "c", 0.7), ("x", "y", 0.99)], "a string, b string, score double")
+    assert {r.cluster: (r.size, r.action) for r in resolve.cluster_summary(pairs).collect()} == {"a": (3, "review"), "x": (2, "merge")}
+
+
 def test_components_and_clusters(spark):
     edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(0, 60)] + [("z1", "z2"), ("z2", "z3"), ("z1", "z1")], "a string, b string")
     nodes = spark.createDataFrame([(f"n{i:03d}",) for i in range(61)] + [("z1",), ("z2",), ("z3",), ("lone",)], "node string")
