@@ -334,6 +334,11 @@ def win_fill(t: _T) -> DataFrame:
     return timeline.timeline(t("events").where("user_id % 50 = 0"), "ts", "hour", by="event_type", fill=True).select("group", "start", "count")
 
 
+@query("""WITH c AS (SELECT event_type AS g, date_trunc('hour', ts) AS s, count(*) AS n FROM events GROUP BY 1, 2), e AS (SELECT g, unnest(generate_series(min(s), max(s), INTERVAL 1 HOUR)) AS s FROM c GROUP BY 1) SELECT e.g AS "group", e.s AS start, coalesce(n, 0) AS count FROM e LEFT JOIN c ON c.g = e.g AND c.s = e.s""")
+def win_fill_all(t: _T) -> DataFrame:
+    return timeline.timeline(t("events"), "ts", "hour", by="event_type", fill=True).select("group", "start", "count")
+
+
 @query("SELECT day, n, n - coalesce(lag(n) OVER (ORDER BY day), n) AS delta_n FROM (SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1)")
 def win_deltas(t: _T) -> DataFrame:
     daily = t("events").groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))

@@ -33,3 +33,8 @@ def test_query(spark, db, name):
 def test_entry(spark):
     assert entry.entry(spark).columns and canon(0.5) == "0.5"
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_gap_filling_counts_every_event(spark, db):
+    got = entry.queries()["win_fill_all"](spark, DATA).collect()
+    assert sum(r["count"] for r in got) == db.execute("SELECT count(*) FROM events WHERE ts IS NOT NULL").fetchone()[0]
