@@ -220,6 +220,11 @@ def jon_synonyms(t: _T) -> DataFrame:
     return t("synonyms").where(F.col("synonym_key").startswith("b")).groupBy(F.lower("synonym_key").alias("synonym_key")).agg(F.count_distinct("speciedex_id").alias("taxa"))
 
 
+@query("SELECT lower(synonym_key) AS synonym_key, count(DISTINCT speciedex_id) AS taxa FROM synonyms GROUP BY 1")
+def jon_synonyms_all(t: _T) -> DataFrame:
+    return t("synonyms").groupBy(F.lower("synonym_key").alias("synonym_key")).agg(F.count_distinct("speciedex_id").alias("taxa"))
+
+
 @query("SELECT t.rank, count(*) AS n FROM synonyms s JOIN (SELECT speciedex_id, min(rank) AS rank FROM taxa GROUP BY 1) t USING (speciedex_id) GROUP BY 1")
 def jon_synonym_ranks(t: _T) -> DataFrame:
     return t("synonyms").join(t("taxa").groupBy("speciedex_id").agg(F.min("rank").alias("rank")), "speciedex_id").groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
