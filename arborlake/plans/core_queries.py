@@ -445,6 +445,11 @@ def scl_identity(t: _T) -> DataFrame:
     return df.select("speciedex_id", F.concat_ws("|", X.key(F.col("canonical_name")), X.key(F.col("rank")), X.key(F.col("kingdom"))).alias("key")).distinct()
 
 
+@query()
+def scl_identity_all(t: _T) -> DataFrame:
+    return t("taxa").select("speciedex_id", F.concat_ws("|", X.key(F.col("canonical_name")), X.key(F.col("rank")), X.key(F.col("kingdom"))).alias("key")).distinct()
+
+
 @query("SELECT c_custkey, sha256(c_name || '|' || c_mktsegment) AS digest FROM customer")
 def scl_hash(t: _T) -> DataFrame:
     return t("customer").select("c_custkey", F.sha2(F.concat_ws("|", "c_name", "c_mktsegment"), 256).alias("digest"))

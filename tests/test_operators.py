@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 import zipfile
 
 import pytest
@@ -139,6 +140,20 @@ def test_reconcile(spark):
     assert got == {"1": ("match", "s1", 86.24), "2": ("conflict", None, 66.64), "3": ("conflict", None, 86.24), "4": ("create", None, None), "5": ("match", "s9", None)}
 
 
+def test_identity_keys_of_every_name(spark, tmp_path):
+    from arborlake.plans.core_queries import QUERIES
+
+    names = ["Äus  ÉLEGANS", "ΑΣ ΣΑΣ", "Straße", "×Aus bus", "\u00a0Aus", "Aus\u2003bus", " A\t\nb ", "Жук Ель", "A\u030a", "ﬁlum", "ÅNGSTRÖM", "", None]
+    rows = [(f"i{n}", v, "Species ", None if n % 2 else "Plantæ") for n, v in enumerate(names)]
+    spark.createDataFrame(rows, "speciedex_id string, canonical_name string, rank string, kingdom string").write.parquet(f"{tmp_path}/taxa.parquet")
+
+    def key(v):  # blanks are those of ASCII, as in Java
+        return " ".join(x for x in re.split(r"[ \t\n\x0b\f\r]+", v or "") if x).lower()
+
+    want = {(i, "|".join(map(key, v))) for i, *v in rows}
+    assert {tuple(r) for r in QUERIES["scl_identity_all"](spark, str(tmp_path)).collect()} == want
+
+
 _TAXON = {"speciedex_id": "", "canonical_name": "Aus bus", "scientific_name": "Aus bus L.", "authorship": "L.", "rank": "species", "kingdom": "Animalia", "phylum": "P", "class_name": "C", "order_name": "O", "family": "F", "genus": "Aus", "status": "accepted"}
 
 
