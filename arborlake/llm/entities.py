@@ -201,8 +201,8 @@ def signatures(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     return plain.select(*keys, "raw").join(parsed.select("raw", "sig"), "raw").select(*keys, "sig").distinct(), parsed.drop("raw").dropDuplicates(["sig"])
 
 
-def retrieve(queries: DataFrame, docs: DataFrame, share: float = 0.15, top: int = 10) -> DataFrame:
-    """q, d, score, self, known: the `top` best documents of each query by BM25 (ties kept) with at least `share` of its own score."""
+def retrieve(queries: DataFrame, docs: DataFrame, share: float = 0.15, top: int | None = 10) -> DataFrame:
+    """q, d, score, self, known: the `top` best documents (None: all) of each query by BM25 (ties kept) with at least `share` of its own score."""
     total, mean = docs.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
     posts = docs.select(F.col("sig").alias("d"), F.size("tokens").alias("len"), F.explode("tokens").alias("t"))
     posts = posts.withColumn("f", F.lit(K1 + 1) / (1 + F.lit(K1) * (1 - B + B * F.col("len") / F.lit(float(mean or 1))))).drop("len")
@@ -224,17 +224,18 @@ def retrieve(queries: DataFrame, docs: DataFrame, share: float = 0.15, top: int
     scored = pairs.join(qs, "q").join(ds, "d")
     score = F.col("f") * F.aggregate(F.array_intersect(F.map_keys("w"), F.col("tokens")), F.lit(0.0), lambda a, t: a + F.col("w")[t])
     scored = scored.select("q", "d", score.alias("score"), F.col("self").cast("double").alias("self")).where(F.col("score") >= F.lit(share) * F.col("self"))
-    best = scored.withColumn("r", F.rank().over(one.orderBy(F.desc("score")))).where(F.col("r") <= top).drop("r")
+    best = scored if top is None else scored.withColumn("r", F.rank().over(one.orderBy(F.desc("score")))).where(F.col("r") <= top).drop("r")
     # A genus or stem of several records is known; one that a single record has may be the misspelt one.
     known = asked.where((F.col("df") >= 3) & (F.col("t").startswith("G:") | F.col("t").startswith("E:"))).groupBy("q").agg(F.collect_list("t").alias("known"))
     return best.join(known, "q", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
 
 
-def match(taxa: DataFrame, others: DataFrame, share: float = 0.15, top: int = 10) -> DataFrame:
+def match(taxa: DataFrame, others: DataFrame, share: float = 0.15, top: int | None = None) -> DataFrame:
     """speciedex_id, provider, provider_id, confidence of the pairs that are the same taxon at the same rank.
 
     Null and empty attributes are missing evidence; a record without a name or with an unknown rank matches by what
-    it has. Repeated rows count once; every id of a taxon archived more than once is matched. The nearest taxon of a
+    it has. Repeated rows count once; every id of a taxon archived more than once is matched, so all records above the
+    share are judged unless `top` says how many. The nearest taxon of a
     record, and those that agree with it in author and kingdom, must see the record among their own nearest of that
     provider.
     """

@@ -195,6 +195,17 @@ def test_match(spark):
     assert entities.match(taxa.limit(0), others).count() == 0 and entities.match(taxa, others.limit(0)).count() == 0
 
 
+def test_taxon_archived_in_many_records(spark):
+    people = "Celtman Dramford Fostwick Gulpner Hirnsson Jalmberg Kestrup Lumbers Mordhaus Nesplund Pruxmann Quandt".split()
+    columns = "canonical_name string, scientific_name string, rank string, authorship string, family string, kingdom string"
+    taxa = [(f"t{n}", "Velmarothus grandiceps", None, "species", f"Thoreblund & {p}", "Borvidae", "Animalia") for n, p in enumerate(people)]
+    taxa += [("t12", "Velmarothus grandiceps", None, "species", None, "Borvidae", "Animalia"), ("t13", "Velmarothus grandiceps", None, "species", None, None, None)]
+    taxa += [(f"u{n}", f"Ostrenigula {w}", None, "species", None, None, "Plantae") for n, w in enumerate(["albida", "montana", "rubella", "fluvialis", "tenuis", "lucida"])]
+    taxa = spark.createDataFrame(taxa, "speciedex_id string, " + columns)
+    others = spark.createDataFrame([("p", "1", "Velmarothus grandiceps", None, "species", "Thoreblund", "Borvidae", "Animalia")], "provider string, provider_id string, " + columns)
+    assert {r.speciedex_id for r in entities.match(taxa, others).collect()} == {f"t{n}" for n in range(14)}
+
+
 def test_retrieval_loses_nothing_above_the_share(spark):
     rng = random.Random(6)
     words = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(40)]
