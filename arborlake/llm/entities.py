@@ -1,20 +1,24 @@
 """Matching entities across sources without keys (problem 5).
 
-Records of both tables become bags of tokens from all attributes: combined pieces of genus and epithet, surnames,
-family and kingdom. An inverted index scores them by BM25. A query's tokens are split by their greatest possible
-score: those that together stay below the score that any match must reach start no candidates, so the long lists of
-common tokens are read for no one, and still no pair above that score is lost. The best candidates are scored in
-full, must be each other's nearest, pass an exact check of the name parts, and get a confidence from the gap to the
-next other taxon through a logistic curve.
+Records of both tables become bags of tokens from all attributes: the full name, genus and epithets, people, family
+and kingdom. The words of the asked names are first looked up in the vocabulary of the index: a word also stands for
+those that it may misspell, unless it is itself an established word there. An inverted index then scores all
+attributes by BM25. Only name tokens start candidates: a pair without one cannot pass the check of the names, whatever
+its score, so the long lists of common attributes are read for no one and no match is lost; they only add to the score
+of candidates. Each record takes the taxon that scores best, must be that taxon's nearest of its provider (or say
+nothing against the nearest one), and gets a confidence from score and score gap by a logistic curve fitted to a
+bounded sample.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.llm import variants
@@ -93,39 +97,20 @@ def record(name: str | None, full: str | None, rank: str | None, authorship: str
     return (rank or "").strip().lower(), words, people, fam, KINGDOMS.get(fold(canonical(kingdom or "")), "")
 
 
-def _letters(word: str) -> str:
-    """The word's letters in order, which a swap leaves alone."""
-    return "".join(sorted(word))
+def tokens(rec: tuple) -> dict:
+    """The parts of a record that the index holds: g (genus in full), initial, last epithet and its stem, place (what stands for the name), attrs (all attributes).
 
-
-def tokens(rec: tuple) -> list[str]:
-    """Tokens of a record: combined pieces of genus and last epithet, their initial with an author or family, and the single attributes.
-
-    Pieces are the word, its beginning, its end and its sorted letters: a slip in a word leaves one of the latter three
-    whole, so names with a slip in either word, and mostly in both, still share a combined token. Combined tokens are rare however large the tables are, while
-    grams of single words would meet ever more records.
+    place tells a name that is in full (I) from a shortened one (J), so that shortened names meet both and full names
+    do not read the lists of each other's initials.
     """
     rank, words, people, fam, kingdom = rec
-    if not words:
-        return []
-    r, g, out = rank[:2], words[0], []
-    if len(words) == 1:
-        out += [f"{r}|{g}", f"{r}<{g[:5]}", f"{r}>{g[-5:]}", f"{r}~{_letters(g)}"]
-    else:
-        s = stem(words[-1].rstrip("."))
-        if not g.endswith("."):
-            if len(s) < 7:
-                out += [f"{r}|{g}|<<{s[:2]}", f"{r}|{g}|>>{s[-2:]}"]
-            heads, tails = [g, "<" + g[:5], ">" + g[-5:]], [s, "<" + s[:3], ">" + s[-3:]]
-            out += [f"{r}|{a}|{b}" for a in heads for b in tails] + [f"{r}|{g}|~{_letters(s)}", f"{r}|~{_letters(g)}|{s}"]
-        out += [f"{r}|{g[0]}.|{s}|{p[0][:4]}" for p in people] + ([f"{r}|{g[0]}.|{s}|f:{fam[:5]}"] if fam else [])
-        out += ["E:" + stem(w) for w in words[1:]]
-    if not g.endswith("."):
-        out.append("G:" + g)
-    out += [f"a:{p[0][:4]}" for p in people]
-    out += [f"f:{fam[:5]}"] if fam else []
-    out += [f"k:{kingdom}"] if kingdom else []
-    return sorted(set(out))
+    r, g = rank[:2], words[0]
+    short = g.endswith(".")
+    last = words[-1] if len(words) > 1 else ""
+    s = stem(last.rstrip("."))
+    attrs = [f"E:{stem(w)}" for w in words[1:]] + [f"a:{p[0][:4]}" for p in people] + ([f"f:{fam[:5]}"] if fam else []) + ([f"k:{kingdom}"] if kingdom else []) + ([] if short else [f"G:{g}"])
+    by = [t for p in people for t in (f"a<{p[0][:4]}", f"a>{p[0][-4:]}")] + ([f"f:{fam[:5]}"] if fam else [])
+    return {"r": r, "g": "" if short else g, "initial": g[0], "last": last, "s": s, "cut": last.endswith("."), "by": sorted(set(by)), "attrs": sorted(set(attrs))}
 
 
 def _same_person(p: tuple, r: tuple) -> bool:
@@ -142,10 +127,10 @@ def _same_person(p: tuple, r: tuple) -> bool:
     return not (am and bm) or am == bm
 
 
-def agreement(q: tuple, d: tuple, known: frozenset[str]) -> int:
+def agreement(q: tuple, d: tuple, stands: frozenset[str]) -> int:
     """0 if the records are not the same taxon, else 1 and one more for each agreeing author and family.
 
-    known holds the genera and stems that the other table has: a part that is known there is no misspelling.
+    stands holds "word>word" for each word of q (stems after the genus) that may misspell one of the index.
     """
     if q[0] != d[0] or not q[1] or not d[1] or (q[4] and d[4] and q[4] != d[4]):
         return 0
@@ -161,9 +146,7 @@ def agreement(q: tuple, d: tuple, known: frozenset[str]) -> int:
                 return 0
             continue
         x, y = (a, b) if i == 0 else (stem(a), stem(b))
-        if x == y:
-            continue
-        if ("G:" if i == 0 else "E:") + x in known or not (slip(x, y) or slip(a, b)):
+        if x != y and f"{a}>{y}" not in stands:
             return 0
     points = 1
     if q[2] and d[2]:
@@ -172,99 +155,220 @@ def agreement(q: tuple, d: tuple, known: frozenset[str]) -> int:
         points += 2
     if q[3] and d[3] and (q[3] == d[3] or slip(q[3], d[3])):
         points += 1
-    if any(w.endswith(".") for w in q[1]) and points < 2:
-        return 0  # a shortened genus needs an author or family beside it
+    if any(w.endswith(".") for w in (*q[1], *d[1])) and points < 2:
+        return 0  # a shortened name needs an author or family beside it
     return points
 
 
+def opposed(a: tuple, b: tuple, authors: bool, kingdoms: bool) -> bool:
+    """Two records that name other authors or kingdoms, in what the taxon that both agree with does not say."""
+    return bool(kingdoms and a[4] and b[4] and a[4] != b[4]) or bool(authors and a[2] and b[2] and not any(_same_person(p, r) for p in a[2] for r in b[2]))
+
+
 _REC = "rank string, words array<string>, people array<struct<surname:string,given:string,middle:string,short:boolean>>, family string, kingdom string"
+_PARTS = "r string, g string, initial string, last string, s string, cut boolean, `by` array<string>, attrs array<string>"
+_FIELDS = ["rank", "words", "people", "family", "kingdom"]
 _SIDES = ["canonical_name", "scientific_name", "rank", "authorship", "family", "kingdom"]
 
 
+def _plain(r: dict) -> tuple:
+    return r["rank"], list(r["words"]), [(p["surname"], p["given"], p["middle"], p["short"]) for p in r["people"]], r["family"], r["kingdom"]
+
+
 def signatures(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(keys with sig, distinct records with sig and tokens): rows that say the same are one record."""
-    plain = df.select(*keys, *_SIDES).distinct()
-    plain = checkpoint(plain.withColumn("raw", F.xxhash64(*[F.coalesce(F.col(c), F.lit("\0")) for c in _SIDES])))
+    """(keys with id, distinct records with id and parts): rows that say the same are one record.
+
+    Records are told apart by a 128-bit digest of all they say; id is a row number of the written records.
+    """
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             recs = [record(*(None if v is None else v for v in row)) for row in b[_SIDES].itertuples(index=False, name=None)]
             recs = [(r[0], r[1], sorted(set(r[2])), r[3], r[4]) for r in recs]
-            yield pd.DataFrame({
-                "raw": b["raw"], "rank": [r[0] for r in recs], "words": [r[1] for r in recs],
-                "people": [[dict(zip(("surname", "given", "middle", "short"), p)) for p in r[2]] for r in recs],
-                "family": [r[3] for r in recs], "kingdom": [r[4] for r in recs], "tokens": [tokens(r) for r in recs],
-            })
-
-    parsed = plain.select("raw", *_SIDES).dropDuplicates(["raw"]).mapInPandas(run, f"raw bigint, {_REC}, tokens array<string>")
-    parsed = checkpoint(parsed.where(F.size("words") > 0).withColumn("sig", F.xxhash64("rank", "words", "people", "family", "kingdom")))
-    return plain.select(*keys, "raw").join(parsed.select("raw", "sig"), "raw").select(*keys, "sig").distinct(), parsed.drop("raw").dropDuplicates(["sig"])
-
-
-def retrieve(queries: DataFrame, docs: DataFrame, share: float = 0.15, top: int | None = 10) -> DataFrame:
-    """q, d, score, self, known: the `top` best documents (None: all) of each query by BM25 (ties kept) with at least `share` of its own score."""
-    total, mean = docs.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
-    posts = docs.select(F.col("sig").alias("d"), F.size("tokens").alias("len"), F.explode("tokens").alias("t"))
-    posts = posts.withColumn("f", F.lit(K1 + 1) / (1 + F.lit(K1) * (1 - B + B * F.col("len") / F.lit(float(mean or 1))))).drop("len")
-    lists = posts.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.max("f").alias("most"))
-    lists = lists.withColumn("idf", F.ln(1 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    asked = queries.select(F.col("sig").alias("q"), F.explode("tokens").alias("t")).join(lists, "t", "left")
-    absent = F.ln(1 + (F.lit(float(total)) + 0.5) / 0.5)
-    asked = asked.withColumn("idf", F.coalesce("idf", absent)).withColumn("bound", F.when(F.col("df").isNull(), 0.0).otherwise(F.col("idf") * F.col("most")))
-    one = Window.partitionBy("q")  # a query's own tokens
-    asked = asked.withColumn("self", F.sum("idf").over(one))
-    asked = asked.withColumn("below", F.sum("bound").over(one.orderBy("bound", "t").rowsBetween(Window.unboundedPreceding, 0)))
-    asked = checkpoint(asked)
-    # Tokens whose bounds add up to less than the needed score cannot make a match by themselves.
-    essential = asked.where((F.col("below") >= F.lit(share) * F.col("self")) & F.col("df").isNotNull()).select("q", "t")
-    pairs = essential.join(posts.select("t", "d"), "t").select("q", "d").distinct()
-    # The pairs carry hashed tokens and plain weights only; what else the check needs joins the few that are left.
-    qs = asked.groupBy("q").agg(F.first("self").cast("float").alias("self"), F.map_from_entries(F.collect_list(F.struct(F.xxhash64("t"), F.col("idf").cast("float")))).alias("w"))
-    ds = docs.select(F.col("sig").alias("d"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"), (F.lit(K1 + 1) / (1 + F.lit(K1) * (1 - B + B * F.size("tokens") / F.lit(float(mean or 1))))).cast("float").alias("f"))
+            b, recs = b[[bool(r[1]) for r in recs]], [r for r in recs if r[1]]
+            made = [tokens(r) for r in recs]
+            yield b[keys].assign(
+                sig=[hashlib.blake2b(repr(r).encode(), digest_size=16).digest() for r in recs], rank=[r[0] for r in recs], words=[r[1] for r in recs],
+                people=[[dict(zip(("surname", "given", "middle", "short"), p)) for p in r[2]] for r in recs], family=[r[3] for r in recs], kingdom=[r[4] for r in recs],
+                **{c: [m[c] for m in made] for c in ("r", "g", "initial", "last", "s", "cut", "by", "attrs")},
+            )
+
+    plain = df.select(*keys, *_SIDES).distinct()
+    parsed = checkpoint(plain.mapInPandas(run, f"{kinds}, sig binary, {_REC}, {_PARTS}"))
+    rest = [c for c in parsed.columns if c not in keys and c != "sig"]
+    recs = checkpoint(parsed.groupBy("sig").agg(F.first(F.struct(*rest)).alias("x")).select(F.monotonically_increasing_id().alias("id"), "sig", "x.*"))
+    return parsed.select(*keys, "sig").join(recs.select("sig", "id"), "sig").drop("sig"), recs.drop("sig")
+
+
+def words_of(recs: DataFrame) -> DataFrame:
+    """kind, word, form of each distinct word of the names; form is the stem after the genus."""
+    return recs.select(F.posexplode(F.transform("words", lambda w: F.struct(w.alias("word")))).alias("i", "w")).select(F.when(F.col("i") == 0, "G").otherwise("E").alias("kind"), F.col("w.word").alias("word")).where(~F.col("word").endswith(".")).distinct()
+
+
+def _stem(word: Column) -> Column:
+    cut = F.when(F.length(word) > 4, F.regexp_replace(word, "(us|um|is|a|e|i)$", "")).otherwise(word)
+    return F.regexp_replace(cut, "er$", "r")
+
+
+def _cuts(word: Column) -> Column:
+    """The word and all it can be with one letter left out: two words one slip apart share one."""
+    return F.array_union(F.array(word), F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1))))
+
+
+def spellings(queries: DataFrame, docs: DataFrame, share: float = 0.05) -> DataFrame:
+    """kind, word, form: the words (stems after the genus) of the index for which a word of the queries may stand.
+
+    Each stands for itself. It also stands for those one slip away, unless it is an established word of the index: one
+    that occurs with at least two other names' parts and with at least `share` as many as the word it would misspell.
+    The measure counts different companions, not records, so copies of a misspelling do not make it a word, and it is
+    relative, as slips repeat at random in a large table. Words meet by what is left of them without one letter.
+    """
+    form = lambda c: F.when(F.col("kind") == "G", F.col(c)).otherwise(_stem(F.col(c)))
+    mine, theirs = words_of(queries), words_of(docs).withColumn("form", form("word"))
+    ends = docs.where("g <> '' and s <> '' and not cut").select("g", "s").distinct()
+    beside = ends.select(F.explode(F.array(F.struct(F.lit("G").alias("kind"), F.col("g").alias("form")), F.struct(F.lit("E").alias("kind"), F.col("s").alias("form")))).alias("x")).groupBy("x.kind", "x.form").agg(F.count(F.lit(1)).alias("n"))
+    mine = mine.withColumn("own", form("word"))
+    a = mine.select("kind", "word", "own", F.explode(F.array_union(_cuts(F.col("word")), _cuts(F.col("own")))).alias("cut"))
+    b = theirs.select("kind", F.col("word").alias("other"), "form", F.explode(F.array_union(_cuts(F.col("word")), _cuts(F.col("form")))).alias("cut"))
+    met = a.join(b, ["kind", "cut"]).where((F.col("own") == F.col("form")) | variants.typo(F.col("word"), F.col("other")) | variants.typo(F.col("own"), F.col("form"))).select("kind", "word", "own", "form").distinct()
+    met = met.join(beside.withColumnsRenamed({"form": "own", "n": "n_own"}), ["kind", "own"], "left").join(beside, ["kind", "form"], "left")
+    met = met.where((F.col("own") == F.col("form")) | F.col("n_own").isNull() | (F.col("n_own") < 2) | (F.col("n_own") < share * F.coalesce("n", F.lit(0))))
+    return met.select("kind", "word", "form").unionByName(mine.select("kind", "word", F.col("own").alias("form"))).distinct()
+
+
+def _hash(*parts) -> Column:
+    return F.xxhash64(*[F.lit(p) if isinstance(p, str) and len(p) == 1 and p.isupper() else F.col(p) if isinstance(p, str) else p for p in parts])
+
+
+def postings(docs: DataFrame) -> DataFrame:
+    """d, t, starts: the tokens of each record of the index; name tokens start candidates, attributes do not.
+
+    Tokens are hashes; two that fall together add a candidate, which the check of the names refuses.
+    """
+    name = F.when(F.col("g") != "", F.concat(F.array(_hash("N", "r", "g", "s")), F.when(F.col("s") != "", F.array(_hash("P", "r", "g", F.substring("s", 1, 1)))).otherwise(F.array().cast("array<bigint>"))))
+    side = F.transform("by", lambda x: F.when(F.col("g") != "", _hash("I", "r", "initial", "s", x)).otherwise(_hash("J", "r", "initial", "s", x)))
+    starts = F.array_distinct(F.flatten(F.array(F.coalesce(name, F.array().cast("array<bigint>")), side)))
+    return docs.select(F.col("id").alias("d"), starts.alias("starts"), F.transform("attrs", lambda x: F.xxhash64(F.lit("A"), x)).alias("attrs"))
+
+
+def asked(queries: DataFrame, stand: DataFrame) -> DataFrame:
+    """q, t, rate, own, kind: the tokens that each record asks for; those of a spelling it stands for count half a slip."""
+    genus = stand.where("kind = 'G'").select(F.col("word").alias("g"), F.col("form").alias("g2"))
+    ends = stand.where("kind = 'E'").select(F.col("word").alias("last"), F.col("form").alias("s2"))
+    wide = queries.select("id", "r", "g", "initial", "last", "s", "cut", "by").join(genus, "g", "left").join(ends, "last", "left")
+    wide = wide.withColumn("g2", F.coalesce("g2", "g")).withColumn("s2", F.coalesce("s2", "s"))
+    rate = F.when(F.col("g2") == F.col("g"), 1.0).otherwise(0.5) * F.when(F.col("s2") == F.col("s"), 1.0).otherwise(0.5)
+    none = F.array().cast("array<bigint>")
+    full = F.when((F.col("g") != "") & ~F.col("cut"), F.array(_hash("N", "r", "g2", "s2"))).otherwise(none)
+    cut = F.when((F.col("g") != "") & F.col("cut"), F.array(_hash("P", "r", "g2", F.substring("s", 1, 1)))).otherwise(none)
+    short = F.transform("by", lambda x: _hash("J", "r", "initial", "s2", x))
+    both = F.when(F.col("g") == "", F.concat(short, F.transform("by", lambda x: _hash("I", "r", "initial", "s2", x)))).otherwise(short)
+    starts = wide.select(F.col("id").alias("q"), rate.alias("rate"), ((F.col("g2") == F.col("g")) & (F.col("s2") == F.col("s"))).alias("own"), F.lit("n").alias("kind"), F.explode(F.array_distinct(F.flatten(F.array(full, cut, both)))).alias("t"))
+    attrs = queries.select(F.col("id").alias("q"), F.lit(1.0).alias("rate"), F.lit(True).alias("own"), F.explode("attrs").alias("x"))
+    attrs = attrs.select("q", "rate", "own", F.substring("x", 1, 1).alias("kind"), F.xxhash64(F.lit("A"), "x").alias("t"))
+    return starts.groupBy("q", "t").agg(F.max("rate").alias("rate"), F.max("own").alias("own"), F.first("kind").alias("kind")).unionByName(attrs, allowMissingColumns=False)
+
+
+def retrieve(want: DataFrame, posts: DataFrame) -> DataFrame:
+    """q, d, score, self, author, family: every record of the index that shares a name token with a query, scored by BM25 over all attributes.
+
+    self is the score a record of the same words would have at most; author and family are the weights of these parts
+    of the query.
+    """
+    total, mean = posts.agg(F.count(F.lit(1)), F.avg(F.size("starts") + F.size("attrs"))).first()
+    every = posts.select("d", F.explode(F.concat("starts", "attrs")).alias("t"))
+    lists = every.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    want = want.join(lists, "t", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    want = checkpoint(want.withColumn("w", (F.col("rate") * F.ln(1 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))).cast("float")))
+    pairs = want.where("kind = 'n' and df > 0").select("q", "t").join(posts.select("d", F.explode("starts").alias("t")), "t").select("q", "d").distinct()
+    qs = want.groupBy("q").agg(
+        F.sum(F.when(F.col("own"), F.col("w"))).alias("self"), F.max(F.when(F.col("kind") == "a", F.col("w"))).alias("author"), F.max(F.when(F.col("kind") == "f", F.col("w"))).alias("family"),
+        F.map_from_entries(F.collect_list(F.when(F.col("df") > 0, F.struct("t", "w")))).alias("w"),
+    )
+    ds = posts.select("d", F.concat("starts", "attrs").alias("tokens"), (F.lit(K1 + 1) / (1 + F.lit(K1) * (1 - B + B * (F.size("starts") + F.size("attrs")) / F.lit(float(mean or 1))))).alias("f"))
     scored = pairs.join(qs, "q").join(ds, "d")
     score = F.col("f") * F.aggregate(F.array_intersect(F.map_keys("w"), F.col("tokens")), F.lit(0.0), lambda a, t: a + F.col("w")[t])
-    scored = scored.select("q", "d", score.alias("score"), F.col("self").cast("double").alias("self")).where(F.col("score") >= F.lit(share) * F.col("self"))
-    best = scored if top is None else scored.withColumn("r", F.rank().over(one.orderBy(F.desc("score")))).where(F.col("r") <= top).drop("r")
-    # A genus or stem of several records is known; one that a single record has may be the misspelt one.
-    known = asked.where((F.col("df") >= 3) & (F.col("t").startswith("G:") | F.col("t").startswith("E:"))).groupBy("q").agg(F.collect_list("t").alias("known"))
-    return best.join(known, "q", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+    return scored.select("q", "d", score.alias("score"), F.greatest("self", F.lit(1e-6)).alias("self"), F.coalesce("author", F.lit(0.0)).alias("author"), F.coalesce("family", F.lit(0.0)).alias("family"))
+
+
+#: Coefficients (constant, score share, gap) that the fit starts from and shrinks to where the sample says nothing.
+PRIOR = (0.0, 2.0, 2.0)
+
 
+def calibrate(rows: list[tuple[float, float, bool]], weight: float = 1.0, rounds: int = 25) -> tuple[float, float, float]:
+    """Coefficients of the logistic curve of (score share, gap), by Newton steps with a normal prior around PRIOR."""
+    mean = np.array(PRIOR)
+    if not rows:
+        return PRIOR
+    x = np.array([(1.0, a, g) for a, g, _ in rows])
+    y = np.array([float(t) for _, _, t in rows])
+    beta = mean.copy()
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        slope = x.T @ (y - p) - weight * (beta - mean)
+        bend = (x * (p * (1 - p))[:, None]).T @ x + weight * np.eye(3)
+        step = np.linalg.solve(bend, slope)
+        beta = beta + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return tuple(float(round(b, 6)) for b in beta)
 
-def match(taxa: DataFrame, others: DataFrame, share: float = 0.15, top: int | None = None) -> DataFrame:
+
+def match(taxa: DataFrame, others: DataFrame, sample: int = 10_000) -> DataFrame:
     """speciedex_id, provider, provider_id, confidence of the pairs that are the same taxon at the same rank.
 
     Null and empty attributes are missing evidence; a record without a name or with an unknown rank matches by what
-    it has. Repeated rows count once; every id of a taxon archived more than once is matched, so all records above the
-    share are judged unless `top` says how many. The nearest taxon of a
-    record, and those that agree with it in author and kingdom, must see the record among their own nearest of that
-    provider.
+    it has. Repeated rows count once, and every id of a taxon archived more than once is matched. Among the candidates
+    that pass the check of the names a record takes the taxon (name and kingdom) of the best score; of equal scores the
+    greater name. Seen from the taxon, the record must be the nearest of its provider, or not be opposed to the nearest
+    one in author or kingdom where the taxon gives none. The curve of the confidence is fitted to at most `sample` pairs that agree in name and
+    author and as many that the check refuses, chosen by hash.
     """
     t_keys, t_recs = signatures(taxa, ["speciedex_id"])
     o_keys, o_recs = signatures(others, ["provider", "provider_id"])
-    t_recs, o_recs = checkpoint(t_recs), checkpoint(o_recs)
-    found = checkpoint(retrieve(o_recs, t_recs, share, top))
-    fields = ["rank", "words", "people", "family", "kingdom"]
-    full = found.join(o_recs.select(F.col("sig").alias("q"), F.struct(*fields).alias("qr")), "q").join(t_recs.select(F.col("sig").alias("d"), F.struct(*fields).alias("dr")), "d")
+    stand = checkpoint(spellings(o_recs, t_recs))
+    posts = postings(t_recs)
+    found = retrieve(asked(o_recs, stand), posts)
+    slipped = stand.where(F.when(F.col("kind") == "G", F.col("word")).otherwise(_stem(F.col("word"))) != F.col("form"))
+    over = o_recs.select(F.col("id").alias("q"), F.explode("words").alias("word")).join(slipped, "word").groupBy("q").agg(F.collect_set(F.concat("word", F.lit(">"), "form")).alias("stands"))
+    qs = o_recs.select(F.col("id").alias("q"), F.struct(*_FIELDS).alias("qr")).join(over, "q", "left").withColumn("stands", F.coalesce("stands", F.array().cast("array<string>")))
+    full = found.join(qs, "q").join(t_recs.select(F.col("id").alias("d"), F.struct(*_FIELDS).alias("dr")), "d")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def plain(r: dict) -> tuple:
-            return r["rank"], list(r["words"]), [(p["surname"], p["given"], p["middle"], p["short"]) for p in r["people"]], r["family"], r["kingdom"]
-
         for b in batches:
-            points = [agreement(plain(q), plain(d), frozenset(k)) for q, d, k in zip(b["qr"], b["dr"], b["known"])]
-            yield b[["q", "d", "score", "self"]].assign(points=points, dk=[d["kingdom"] for d in b["dr"]], name=[" ".join([*d["words"][:1], *map(stem, d["words"][1:])]) for d in b["dr"]])
-
-    judged = checkpoint(full.mapInPandas(run, "q bigint, d bigint, score double, self double, points int, dk string, name string"))
-    one = Window.partitionBy("q")
-    # The best candidate says which name and kingdom it is; all records of that taxon stay, as it may be archived twice.
-    good = judged.where("points > 0").withColumn("best", F.max(F.struct("points", "score", "dk", "name")).over(one))
-    good = good.where((F.col("name") == F.col("best.name")) & ((F.col("dk") == F.col("best.dk")) | (F.col("dk") == "") | (F.col("best.dk") == "")))
-    other = judged.where("points = 0").groupBy("q").agg(F.max("score").alias("next"))
-    gap = (F.col("score") - F.coalesce("next", F.lit(0.0))) / F.col("self")
-    good = good.join(other, "q", "left").withColumn("confidence", 1 / (1 + F.exp(-(F.lit(1.0) + 4.0 * gap + 0.8 * (F.col("points") - 1)))))
-    # Mutual: no record of the same provider is far nearer to the taxon; judged between distinct records, before their keys fan out.
-    pairs = checkpoint(good.select("d", "q", (F.col("score") / F.col("self")).alias("near"), "confidence").join(o_keys.select(F.col("sig").alias("q"), "provider").distinct(), "q"))
-    most = pairs.groupBy("d", "provider").agg(F.max("near").alias("most"))
-    near = pairs.join(most.withColumnsRenamed({"d": "d2", "provider": "p2"}), (F.col("d") == F.col("d2")) & F.col("provider").eqNullSafe(F.col("p2"))).where(F.col("near") >= 0.2 * F.col("most")).select("d", "q", F.col("provider").alias("of"), "confidence")
-    out = near.join(o_keys, (near.q == o_keys.sig) & near.of.eqNullSafe(o_keys.provider)).drop("sig").join(t_keys, F.col("d") == t_keys.sig)
+            out = []
+            for q, d, score, whole, author, family, stands, qr, dr in b[["q", "d", "score", "self", "author", "family", "stands", "qr", "dr"]].itertuples(index=False, name=None):
+                x, y = _plain(qr), _plain(dr)
+                points = agreement(x, y, frozenset(stands))
+                # An author or family that agrees in another spelling counts as its token.
+                if points >= 3 and not {p[0][:4] for p in x[2]} & {p[0][:4] for p in y[2]}:
+                    score += author
+                if points in (2, 4) and x[3][:5] != y[3][:5]:
+                    score += family
+                out.append((q, d, score / whole, points, y[4], " ".join([*y[1][:1], *map(stem, y[1][1:])]), points >= 3 and x[1] == y[1], not y[2]))
+            yield pd.DataFrame(out, columns=["q", "d", "near", "points", "dk", "name", "sure", "bare"]).astype({"q": "int64", "d": "int64", "near": float, "points": "int32", "dk": str, "name": str, "sure": bool, "bare": bool})
+
+    judged = checkpoint(full.mapInPandas(run, "q bigint, d bigint, near double, points int, dk string, name string, sure boolean, bare boolean"))
+    best = judged.where("points > 0").groupBy("q").agg(F.max(F.struct("near", "dk", "name")).alias("best"))
+    # All records of the best taxon stay, as it may be archived twice; the gap is the lead over the best other one.
+    told = judged.join(best, "q", "left").withColumn("same", F.coalesce((F.col("points") > 0) & (F.col("name") == F.col("best.name")) & ((F.col("dk") == F.col("best.dk")) | (F.col("dk") == "") | (F.col("best.dk") == "")), F.lit(False)))
+    other = told.where("not same").groupBy("q").agg(F.max("near").alias("next"))
+    told = told.join(other, "q", "left").withColumn("gap", F.when(F.col("same"), F.col("near") - F.coalesce("next", F.lit(0.0))).otherwise(F.col("near") - F.coalesce("best.near", "next")))
+    told = checkpoint(told.select("q", "d", "near", "gap", "same", "sure", "points", "bare", (F.col("dk") == "").alias("no_kingdom")))
+    shown = [r for kind in ("sure and same", "points = 0") for r in told.where(kind).orderBy(F.xxhash64("q", "d"), "q", "d").limit(sample).select("near", "gap", "same").collect()]
+    c, by_near, by_gap = calibrate([(r.near, r.gap, r.same) for r in shown])
+    good = told.where("same").withColumn("confidence", 1 / (1 + F.exp(-(F.lit(c) + F.lit(by_near) * F.col("near") + F.lit(by_gap) * F.col("gap")))))
+    pairs = checkpoint(good.select("d", "q", "near", "confidence", "bare", "no_kingdom").join(o_keys.select(F.col("id").alias("q"), "provider").distinct(), "q"))
+    top = pairs.groupBy("d", "provider").agg(F.max(F.struct("near", "q")).alias("top")).select(F.col("d").alias("d2"), F.col("provider").alias("p2"), F.col("top.q").alias("nearest"))
+    seen = pairs.join(top, (F.col("d") == F.col("d2")) & F.col("provider").eqNullSafe(F.col("p2"))).drop("d2", "p2")
+    side = o_recs.select(F.col("id"), F.struct(*_FIELDS).alias("rec"))
+    rivals = seen.where("q <> nearest and (bare or no_kingdom)").select("q", "nearest", "bare", "no_kingdom").distinct().join(side.withColumnsRenamed({"id": "q", "rec": "a"}), "q").join(side.withColumnsRenamed({"id": "nearest", "rec": "b"}), "nearest")
+
+    def against(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.loc[[opposed(_plain(x), _plain(y), n, k) for x, y, n, k in zip(b["a"], b["b"], b["bare"], b["no_kingdom"])], ["q", "nearest", "bare", "no_kingdom"]]
+
+    mutual = seen.join(rivals.mapInPandas(against, "q bigint, nearest bigint, bare boolean, no_kingdom boolean"), ["q", "nearest", "bare", "no_kingdom"], "left_anti").select("d", "q", F.col("provider").alias("of"), "confidence")
+    out = mutual.join(o_keys, (mutual.q == o_keys.id) & mutual.of.eqNullSafe(o_keys.provider)).drop("id").join(t_keys, F.col("d") == t_keys.id)
     return out.groupBy("speciedex_id", "provider", "provider_id").agg(F.round(F.max("confidence"), 6).alias("confidence"))

@@ -206,23 +206,55 @@ def test_taxon_archived_in_many_records(spark):
     assert {r.speciedex_id for r in entities.match(taxa, others).collect()} == {f"t{n}" for n in range(14)}
 
 
-def test_retrieval_loses_nothing_above_the_share(spark):
+COLUMNS = "canonical_name string, scientific_name string, rank string, authorship string, family string, kingdom string"
+
+
+@pytest.mark.parametrize("copies", [1, 3, 300])
+def test_a_repeated_misspelling_is_no_word(spark, copies):
+    taxa = [(f"s{i}", f"Velmarothus {e}", None, "species", "Smith", "Borvidae", "Animalia") for i, e in enumerate("grandiceps albida montana rubella tenuis lucida hirsuta".split())]
+    taxa += [(f"m{i}", "Velmarotus grandiceps", None, "species", f"Smith{'x' * i}", "Borvidae", "Animalia") for i in range(copies)]
+    others = [("p", "1", "Velmarotus albida", None, "species", "Smith", "Borvidae", "Animalia")]
+    got = entities.match(spark.createDataFrame(taxa, "speciedex_id string, " + COLUMNS), spark.createDataFrame(others, "provider string, provider_id string, " + COLUMNS))
+    assert {r.speciedex_id for r in got.collect()} == {"s1"}
+
+
+def test_every_agreeing_pair_is_retrieved(spark):
     rng = random.Random(6)
-    words = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(40)]
-    docs = spark.createDataFrame([(i, sorted(set(rng.choices(words, k=rng.randrange(1, 9))) | {"hot"})) for i in range(80)], "sig bigint, tokens array<string>")
-    queries = spark.createDataFrame([(1000 + i, sorted(set(rng.choices([*words, "none"], k=6)) | {"hot"})) for i in range(30)], "sig bigint, tokens array<string>")
-    got = {(r.q, r.d): r.score for r in entities.retrieve(queries, docs, share=0.4, top=1000).collect()}
-    d, q = {r.sig: r.tokens for r in docs.collect()}, {r.sig: r.tokens for r in queries.collect()}
-    n, mean = len(d), np.mean([len(x) for x in d.values()])
-    df = {w: sum(w in x for x in d.values()) for w in [*words, "hot", "none"]}
-    idf = {w: np.log(1 + (n - c + 0.5) / (c + 0.5)) for w, c in df.items()}
-    want = {}
-    for a, x in q.items():
-        for b, y in d.items():
-            s = sum(idf[w] for w in x if w in y) * (entities.K1 + 1) / (1 + entities.K1 * (1 - entities.B + entities.B * len(y) / mean))
-            if s >= 0.4 * sum(idf[w] for w in x):
-                want[a, b] = s
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in got)
+    genera = ["Velmarothus", "Ostrenigula", "Gacubrugantes", "Helodru"]
+    ends = ["grandiceps", "albida", "campida", "campica", "rubella", "ulex"]
+
+    def slip(w):
+        i = rng.randrange(1, len(w))
+        return rng.choice([w, w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + "x" + w[i + 1 :], w[: i - 1] + w[i] + w[i - 1] + w[i + 1 :]])
+
+    def rec(i, noisy):
+        g, e = rng.choice(genera), rng.choice(ends)
+        g, e = (slip(g), slip(e)) if noisy else (g, e)
+        g = g[0] + "." if rng.random() < 0.2 else g
+        name = g if e == "ulex" and rng.random() < 0.3 else f"{g} {e}"
+        return str(i), name.capitalize(), None, rng.choice(["species", "species", "genus"]), rng.choice(["Smith", "A. Thoreblund", "", None]), rng.choice(["Borvidae", "", "Fam"]), rng.choice(["Animalia", "Plantae", None])
+
+    taxa = spark.createDataFrame([rec(i, i % 3 == 0) for i in range(60)], "speciedex_id string, " + COLUMNS)
+    others = spark.createDataFrame([("p", *rec(i, True)) for i in range(60)], "provider string, provider_id string, " + COLUMNS)
+    (_, docs), (_, queries) = entities.signatures(taxa, ["speciedex_id"]), entities.signatures(others, ["provider", "provider_id"])
+    stand = entities.spellings(queries, docs)
+    found = {(r.q, r.d) for r in entities.retrieve(entities.asked(queries, stand), entities.postings(docs)).collect()}
+    stands = frozenset(f"{r.word}>{r.form}" for r in stand.collect())
+    q, d = [(r.id, entities._plain(r)) for r in queries.collect()], [(r.id, entities._plain(r)) for r in docs.collect()]
+    want = {(i, j) for i, x in q for j, y in d if entities.agreement(x, y, stands)}
+    assert len(want) > 30 and want <= found
+    words = {(r.kind, r.word, r.form) for r in stand.collect()}
+    near = {(r.kind, r.word, s.form) for r in entities.words_of(queries).collect() for s in [t for t in stand.collect() if t.kind == r.kind] if entities.slip(r.word, s.form) and r.kind == "G"}
+    assert {n for n in near if n[1] == n[2]} <= words
+
+
+def test_calibration_orders_and_falls_back():
+    assert entities.calibrate([]) == entities.PRIOR
+    rng = random.Random(1)
+    rows = [(0.6 + 0.3 * rng.random(), 0.3 * rng.random(), True) for _ in range(200)] + [(0.3 + 0.3 * rng.random(), -0.3 * rng.random(), False) for _ in range(200)]
+    c, near, gap = entities.calibrate(rows)
+    p = lambda a, g: 1 / (1 + np.exp(-(c + near * a + gap * g)))
+    assert p(0.9, 0.3) > 0.95 and p(0.3, -0.3) < 0.1 and 0.2 < p(0.6, 0.0) < 0.8
 
 
 # --- problem 6 --------------------------------------------------------------------------------------------------
