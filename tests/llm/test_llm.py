@@ -122,22 +122,39 @@ def test_leaks_of_repeated_items(spark):
 @pytest.mark.parametrize("text,want", [
     ("mail a.b+c@x-y.example now", [("email", "a.b+c@x-y.example")]), ("or a_b [at] x dot y dot test.", [("email", "a_b [at] x dot y dot test")]), ("Call +49 30 23125 803.", [("phone", "+49 30 23125 803")]), ("tel. (305) 555 0187;", [("phone", "(305) 555 0187")]),
     ("SSN 991-45-2377;", [("id_number", "991-45-2377")]), ("Lot 944-12-4697 (dry)", []), ("Sheet no. L733744, doi:10.9943/KIR.1972.6757, 10.5-12.5 mm", []), ("live at Flat 3, 12 Mill Road, Tessen.", [("address", "Flat 3, 12 Mill Road, Tessen")]), ("bei Millweg 97, 74303 Sarrow.", [("address", "Millweg 97, 74303 Sarrow")]),
-    ("Leg. Rosa de Vandik, 3 May 1980", [("person", "Rosa de Vandik")]), ("Thanks to Dr Vandik, Rosa.", [("person", "Vandik, Rosa")]), ("Aus bus Rosa Vandik, 1900", []), ("- Aus bus R. Vandik & Rosa Hill", []), ("I met ROSA VANDIK again", [("person", "ROSA VANDIK")]), ("", []), (None, []), ("  ", []),
+    ("call 555-123-4567 now", [("phone", "555-123-4567")]), ("Lot 555-123-4567-8", []), ("passport no. K1048472.", [("id_number", "K1048472")]), ("", []), ("  ", []),
 ])
-def test_mentions(text, want):
-    assert [(k, text[s:e]) for s, e, k in pii.mentions(text, frozenset(["Rosa"]))] == want
-
-
-def test_pii_tables(spark):
-    rows = [(i, f"Leg. Rosa Vandik{c}, 3 May. Contact Rosa Hill{c} (a@b.test).", "x") for i, c in enumerate("abc")] + [(8, None, "x"), (9, "", "x"), (10, "near Port Quillan. " * 30, "x")]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, kind string")
-    given = pii.given_names(pii.reveal(df, "text"))
-    assert given == {"Rosa"}
-    found = {(r.doc_id, r.kind, r.start_pos) for r in pii.detect(df, "doc_id", "text", given).collect()}
-    assert {f for f in found if f[0] == 0} == {(0, "person", 6), (0, "person", 35), (0, "email", 47)} and not any(f[0] > 2 for f in found)
-    text = {r.doc_id: r.text for r in pii.masked(df, "doc_id", "text", given).collect()}
-    assert text[0] == "Leg. [PERSON], 3 May. Contact [PERSON] ([EMAIL])." and text[8] is None and text[9] == ""
-    assert pii.given_names(pii.reveal(df.limit(0), "text")) == frozenset()
+def test_identifiers(text, want):
+    assert [(k, text[s:e]) for s, e, k in sorted(pii.identifiers(text))] == want
+
+
+GIVEN = "Rosa Marta Pavel Nils Clara".split()
+
+
+def letters():
+    """Texts with cues that no other text of the project uses, names in five spellings, places and cited authors."""
+    out = []
+    for i in range(60):
+        g, s = GIVEN[i % 5], f"Vand{'aeiou'[i % 5]}{'klmnrst'[i % 7]}ik"
+        out += [f"Ring up {g} {s} <x{i}@mail.test> tonight. We walked to Port Quillan and Halm Island.", f"The gate key lies with {g} {s} since May. North Ridge is wet, South Ridge dry.", f"The gate key lies with {g[0]}. {s} since June.", f"Ring up {s}, {g} <y{i}@mail.test> today. Compare Aus {'bcdf'[i % 4]}e{'lmnrst'[i % 6]}{'aeiou'[i % 5]}nus {g} {s}, 1900 with Aus d{'aeiou'[i % 5]}{'bcdfg'[i // 5 % 5]}us R. {s}."]
+    return out
+
+
+def test_names_are_learned_from_the_corpus(spark):
+    texts = letters()
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(900, None, "x"), (901, "", "x"), (902, " ", "x"), (903, "near Port Quillan. " * 3000, "x")], "doc_id bigint, text string, kind string")
+    found = {}
+    for r in pii.detect(df, "doc_id", "text").collect():
+        found.setdefault(r.doc_id, set()).add((r.kind, texts[r.doc_id][r.start_pos - 1 : r.end_pos]))
+    for i, t in enumerate(texts):
+        n, g = i // 4, GIVEN[(i // 4) % 5]
+        s = f"Vand{'aeiou'[n % 5]}{'klmnrst'[n % 7]}ik"
+        want = [{("person", f"{g} {s}"), ("email", f"x{n}@mail.test")}, {("person", f"{g} {s}")}, {("person", f"{g[0]}. {s}")}, {("person", f"{s}, {g}"), ("email", f"y{n}@mail.test")}][i % 4]
+        assert found[i] == want, t
+    assert not any(k >= 900 for k in found)
+    text = {r.doc_id: r.text for r in pii.masked(df, "doc_id", "text").collect()}
+    assert text[0] == "Ring up [PERSON] <[EMAIL]> tonight. We walked to Port Quillan and Halm Island." and text[900] is None and text[901] == "" and text[902] == " " and len(text) == len(texts) + 4
+    assert pii.detect(df.limit(0), "doc_id", "text").count() == 0 and pii.masked(df.limit(0), "doc_id", "text").count() == 0
 
 
 # --- problem 7 --------------------------------------------------------------------------------------------------
