@@ -12,6 +12,7 @@ import re
 import unicodedata
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,6 +27,12 @@ _TAG = re.compile(r"</?[A-Za-z][^<>]{0,80}>")
 _WORD = re.compile(r"[^\W_]+")
 
 
+@lru_cache(maxsize=1 << 16)
+def _latin(chunk: str) -> str:
+    """What stands between two blanks, in its consistent form without accents; the same words come again and again."""
+    return "".join(c for c in unicodedata.normalize("NFKD", canonical(chunk, blanks=False)) if not unicodedata.combining(c))
+
+
 def words(text: str | None) -> list[str]:
     """Lower-case words without accents, markup, punctuation and look-alike characters; None has none."""
     if not text:
@@ -35,8 +42,7 @@ def words(text: str | None) -> list[str]:
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", canonical(text, blanks=False))
-        text = "".join(c for c in text if not unicodedata.combining(c))
+        text = " ".join(c if c.isascii() else _latin(c) for c in text.split())
     return _WORD.findall(text.lower())
 
 
@@ -74,18 +80,26 @@ class Items:
     leaves few enough errors.
     """
 
-    def __init__(self, rows: list[tuple[int, str | None]]):
+    def __init__(self, rows: list[tuple[int, str | None]], short: bool = False):
         self.ids = {}
         same: dict[tuple[int, ...], list[int]] = {}
         for item, text in rows:
             w = tuple(self.ids.setdefault(x, len(self.ids)) for x in words(text))
-            if len(w) >= WINDOWS[0][0]:
+            if len(w) >= (1 if short else WINDOWS[0][0]):
                 same.setdefault(w, []).append(item)
+        self.sizes: set[int] = set()
         self.items, self.names = [list(w) for w in same], list(same.values())
         self.pieces: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         for item, w in enumerate(self.items):
-            for i in range(len(w) - PIECE + 1):
-                self.pieces.setdefault(tuple(w[i : i + PIECE]), []).append((item, i))
+            size = self._piece(len(w))
+            self.sizes.add(size)
+            for i in range(len(w) - size + 1):
+                self.pieces.setdefault(tuple(w[i : i + size]), []).append((item, i))
+
+    @staticmethod
+    def _piece(n: int) -> int:
+        """Words of a piece: an item under the shortest passage has a budget of its own, a word in six, and one piece more than that."""
+        return PIECE if n >= WINDOWS[0][0] else n // (n // 6 + 1)
 
     def leaked(self, text: str | None) -> list[int]:
         """The items of which the text holds a passage."""
@@ -93,11 +107,10 @@ class Items:
         w = [get(x, -1) for x in words(text)]
         found: dict[int, bool] = {}
         hits: list[tuple[int, int, int]] = []
-        for p in range(len(w) - PIECE + 1):
-            if w[p] < 0:
-                continue
-            for item, i in self.pieces.get(tuple(w[p : p + PIECE]), ()):
-                hits.append((item, i, p))
+        for size in self.sizes:
+            for p in range(len(w) - size + 1):
+                if w[p] >= 0 and (at := self.pieces.get(tuple(w[p : p + size]))):
+                    hits += [(item, i, p) for item, i in at]
         tried: set[tuple[int, int, int]] = set()
         for item, i, p in hits:
             if item not in found and self._verify(self.items[item], w, i, p, tried, item):
@@ -106,8 +119,9 @@ class Items:
 
     @staticmethod
     def _verify(item: list[int], doc: list[int], i: int, p: int, tried: set, name: int) -> bool:
-        for size, errors in WINDOWS:
-            reach = size - PIECE
+        n = len(item)
+        for size, errors in WINDOWS if n >= WINDOWS[0][0] else ((n, n // 6),):
+            reach = size - Items._piece(n)
             lo, hi = max(0, p - reach - errors), min(len(doc), p + size + errors)
             near = doc[lo:hi]
             around = set(item[max(0, i - reach) : i + size])
@@ -132,13 +146,15 @@ def _block(name: str, index) -> Items:
     """The pieces of a block, built once a worker process; one block is kept."""
     if name not in _blocks:
         _blocks.clear()
-        _blocks[name] = Items(index.value)
+        _blocks[name] = Items(*index.value)
     return _blocks[name]
 
 
-def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, block_chars: int = 8_000_000) -> DataFrame:
+def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, block_chars: int = 8_000_000, short: bool = False) -> DataFrame:
     """key, item_key of every document that holds a passage of at least 15 words of a test item.
 
+    With `short` an item of fewer words is searched whole, with an error in six words; without it has no case.
+
     The test items are the stated query set: they go to the executors in blocks of at most `block_chars`
     characters (one block here), each searched in all documents in one pass without a shuffle. Null and short
     texts have no case; documents that repeat are reported as often as their key comes with another text, each pair
@@ -149,7 +165,7 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     out, block, size = None, [], 0
 
     def search(rows: list[tuple[int, str]]) -> DataFrame:
-        index, name = spark.sparkContext.broadcast(rows), uuid.uuid4().hex
+        index, name = spark.sparkContext.broadcast((rows, short)), uuid.uuid4().hex
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             block = _block(name, index)

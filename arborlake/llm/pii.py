@@ -6,7 +6,7 @@ co-occurrence of terms in all documents, without any list of names or phrases. F
 beside identifiers: their pointwise mutual information with such places says how strongly they reveal a person. Then
 the words to the left and right of candidates, by how often a revealing word follows or precedes them. Then the head
 words again, by identifiers and revealing contexts together. A candidate is a mention if its head word or its context
-exceeds the disclosure threshold; author citations after a taxon name need the context. Mentions are generalised to
+exceeds the disclosure threshold; author citations after a taxon name need the context to the left. Mentions are generalised to
 typed placeholders.
 """
 
@@ -229,7 +229,7 @@ def mentions(found: DataFrame, learned: tuple[DataFrame, DataFrame, DataFrame])
     names = given.select(F.col("word").alias("last"), F.lit(True).alias("early"))
     ends = left.select(F.element_at(F.split("left", " "), -1).alias("word"), F.lit(True).alias("cue")).distinct()
     told = told.join(names, "last", "left").join(ends, "word", "left")
-    person = (F.coalesce("g", F.lit(False)) & ~F.col("cited")) | F.coalesce("l", "r", F.lit(False))
+    person = (F.coalesce("g", "r", F.lit(False)) & ~F.col("cited")) | F.coalesce("l", F.lit(False))
     kept = told.where((F.col("kind") != "person") | (person & (F.coalesce("g", F.lit(False)) | (F.col("early").isNull() & F.col("cue").isNull()))))
     one = kept.groupBy("key", "h").agg(F.array_sort(F.collect_list(F.struct("nr", "start", "end", "kind"))).alias("x"))
     free = lambda have, x: ~F.exists(have, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))

@@ -118,6 +118,20 @@ def test_leaks_of_repeated_items(spark):
         assert got == [*[(1, n) for n in range(9)], (3, 10)]
 
 
+@pytest.mark.parametrize("copies", [1, 4, 400])
+def test_equal_items_are_all_found(spark, copies):
+    items = spark.createDataFrame([(n, " ".join(f"w{i}" for i in range(30))) for n in range(copies)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "so " + " ".join(f"w{i}" for i in range(5, 25)))], "doc_id bigint, text string")
+    assert {r.item_id for r in leaks.leaks(docs, "doc_id", "text", items, "item_id", "text").collect()} == set(range(copies))
+
+
+def test_short_items_have_a_budget_of_their_own(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, "one two three")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "x alpha beta gamma changed epsilon zeta eta theta y"), (2, "alpha beta no no epsilon zeta eta theta"), (3, "say one two three"), (4, "one two four")], "doc_id bigint, text string")
+    assert {tuple(r) for r in leaks.leaks(docs, "doc_id", "text", items, "item_id", "text", short=True).collect()} == {(1, 1), (3, 2)}
+    assert leaks.leaks(docs, "doc_id", "text", items, "item_id", "text").count() == 0
+
+
 # --- problem 10 -------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("text,want", [
     ("mail a.b+c@x-y.example now", [("email", "a.b+c@x-y.example")]), ("or a_b [at] x dot y dot test.", [("email", "a_b [at] x dot y dot test")]), ("Call +49 30 23125 803.", [("phone", "+49 30 23125 803")]), ("tel. (305) 555 0187;", [("phone", "(305) 555 0187")]),
