@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from arborlake.llm import variants
 from arborlake.llm.unitext import canonical
-from arborlake.llm.variants import NICKNAMES, fold
+from arborlake.llm.variants import fold
 from arborlake.session import checkpoint
 
 # Words for the kingdoms, the marks of ranks inside names, and words for a value that is not known.
@@ -113,21 +113,19 @@ def tokens(rec: tuple) -> dict:
     return {"r": r, "g": "" if short else g, "initial": g[0], "last": last, "s": s, "cut": last.endswith("."), "by": sorted(set(by)), "attrs": sorted(set(attrs))}
 
 
-def _same_person(p: tuple, r: tuple) -> bool:
+def _same_person(p: tuple, r: tuple, alike: frozenset = frozenset()) -> bool:
+    """The names can be those of one person; alike holds (given name, other initial under which it goes too)."""
     (a, ag, am, ash), (b, bg, bm, bsh) = p, r
     if not (a == b or (ash and b.startswith(a)) or (bsh and a.startswith(b)) or (len(a) > 3 and slip(a, b)) or (min(len(a), len(b)) > 5 and slips(a, b) <= 2) or ((ash or bsh) and len(min(a, b, key=len)) > 3 and slip(a[: len(min(a, b, key=len))], b[: len(min(a, b, key=len))]))):
         return False
     if ag and bg:
-        x, y = NICKNAMES.get(ag, ag), NICKNAMES.get(bg, bg)
-        if len(x) == 1 or len(y) == 1:
-            if x[0] != y[0] and ag[0] != bg[0]:
-                return False
-        elif not slip(x, y):
+        short = (len(ag) > 1 and (ag, bg[0]) in alike) or (len(bg) > 1 and (bg, ag[0]) in alike)
+        if not short and (ag[0] != bg[0] if len(ag) == 1 or len(bg) == 1 else not slip(ag, bg)):
             return False
     return not (am and bm) or am == bm
 
 
-def agreement(q: tuple, d: tuple, stands: frozenset[str]) -> int:
+def agreement(q: tuple, d: tuple, stands: frozenset[str], alike: frozenset = frozenset()) -> int:
     """0 if the records are not the same taxon, else 1 and one more for each agreeing author and family.
 
     stands holds "word>word" for each word of q (stems after the genus) that may misspell one of the index.
@@ -150,7 +148,7 @@ def agreement(q: tuple, d: tuple, stands: frozenset[str]) -> int:
             return 0
     points = 1
     if q[2] and d[2]:
-        if not any(_same_person(p, r) for p in q[2] for r in d[2]):
+        if not any(_same_person(p, r, alike) for p in q[2] for r in d[2]):
             return 0
         points += 2
     if q[3] and d[3] and (q[3] == d[3] or slip(q[3], d[3])):
@@ -160,9 +158,9 @@ def agreement(q: tuple, d: tuple, stands: frozenset[str]) -> int:
     return points
 
 
-def opposed(a: tuple, b: tuple, authors: bool, kingdoms: bool) -> bool:
+def opposed(a: tuple, b: tuple, authors: bool, kingdoms: bool, alike: frozenset = frozenset()) -> bool:
     """Two records that name other authors or kingdoms, in what the taxon that both agree with does not say."""
-    return bool(kingdoms and a[4] and b[4] and a[4] != b[4]) or bool(authors and a[2] and b[2] and not any(_same_person(p, r) for p in a[2] for r in b[2]))
+    return bool(kingdoms and a[4] and b[4] and a[4] != b[4]) or bool(authors and a[2] and b[2] and not any(_same_person(p, r, alike) for p in a[2] for r in b[2]))
 
 
 _REC = "rank string, words array<string>, people array<struct<surname:string,given:string,middle:string,short:boolean>>, family string, kingdom string"
@@ -237,6 +235,24 @@ def spellings(queries: DataFrame, docs: DataFrame, share: float = 0.05) -> DataF
     return met.select("kind", "word", "form").unionByName(mine.select("kind", "word", F.col("own").alias("form"))).distinct()
 
 
+def given_forms(recs: DataFrame, share: float = 0.5, bound: int = 100_000) -> frozenset[tuple[str, str]]:
+    """(given name, initial) of the given names that go under another initial than their own, learned from the records.
+
+    Where records of one name and surname give just two given names or initials, these may be forms of one. A given
+    name goes under the other initial if more than `share` of all its such pairs say so: those of a full name mostly
+    show its own initial, those of a short form that of the full one, and persons who share a surname seldom describe
+    the same names. At most `bound` pairs go to the executors.
+    """
+    said = recs.select("rank", "words", F.explode("people").alias("p")).select("rank", "words", "p.surname", "p.given").where("given <> ''")
+    two = said.groupBy("rank", "words", "surname").agg(F.array_sort(F.collect_set("given")).alias("g")).where("size(g) = 2").select(F.explode(F.array(F.struct(F.col("g")[0].alias("a"), F.col("g")[1].alias("b")), F.struct(F.col("g")[1].alias("a"), F.col("g")[0].alias("b")))).alias("x"))
+    pairs = two.select("x.a", F.substring("x.b", 1, 1).alias("b")).where("length(a) > 1").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    total = pairs.groupBy("a").agg(F.sum("n").alias("all"))
+    rows = pairs.join(total, "a").where((F.col("n") > share * F.col("all")) & (F.col("b") != F.substring("a", 1, 1))).select("a", "b").limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"more than {bound} given names")
+    return frozenset((r.a, r.b) for r in rows)
+
+
 def _hash(*parts) -> Column:
     return F.xxhash64(*[F.lit(p) if isinstance(p, str) and len(p) == 1 and p.isupper() else F.col(p) if isinstance(p, str) else p for p in parts])
 
@@ -328,6 +344,7 @@ def match(taxa: DataFrame, others: DataFrame, sample: int = 10_000) -> DataFrame
     t_keys, t_recs = signatures(taxa, ["speciedex_id"])
     o_keys, o_recs = signatures(others, ["provider", "provider_id"])
     stand = checkpoint(spellings(o_recs, t_recs))
+    alike = given_forms(t_recs.select("rank", "words", "people").unionByName(o_recs.select("rank", "words", "people")))
     posts = postings(t_recs)
     found = retrieve(asked(o_recs, stand), posts)
     slipped = stand.where(F.when(F.col("kind") == "G", F.col("word")).otherwise(_stem(F.col("word"))) != F.col("form"))
@@ -340,7 +357,7 @@ def match(taxa: DataFrame, others: DataFrame, sample: int = 10_000) -> DataFrame
             out = []
             for q, d, score, whole, author, family, stands, qr, dr in b[["q", "d", "score", "self", "author", "family", "stands", "qr", "dr"]].itertuples(index=False, name=None):
                 x, y = _plain(qr), _plain(dr)
-                points = agreement(x, y, frozenset(stands))
+                points = agreement(x, y, frozenset(stands), alike)
                 # An author or family that agrees in another spelling counts as its token.
                 if points >= 3 and not {p[0][:4] for p in x[2]} & {p[0][:4] for p in y[2]}:
                     score += author
@@ -367,7 +384,7 @@ def match(taxa: DataFrame, others: DataFrame, sample: int = 10_000) -> DataFrame
 
     def against(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.loc[[opposed(_plain(x), _plain(y), n, k) for x, y, n, k in zip(b["a"], b["b"], b["bare"], b["no_kingdom"])], ["q", "nearest", "bare", "no_kingdom"]]
+            yield b.loc[[opposed(_plain(x), _plain(y), n, k, alike) for x, y, n, k in zip(b["a"], b["b"], b["bare"], b["no_kingdom"])], ["q", "nearest", "bare", "no_kingdom"]]
 
     mutual = seen.join(rivals.mapInPandas(against, "q bigint, nearest bigint, bare boolean, no_kingdom boolean"), ["q", "nearest", "bare", "no_kingdom"], "left_anti").select("d", "q", F.col("provider").alias("of"), "confidence")
     out = mutual.join(o_keys, (mutual.q == o_keys.id) & mutual.of.eqNullSafe(o_keys.provider)).drop("id").join(t_keys, F.col("d") == t_keys.id)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.llm import bpe, entities, leaks, pii, survivors, unitext, variants
-from arborlake.session import checkpoint, table
+from arborlake.session import table
 
 NAMES = ["scientific_name", "canonical_name"]
 
@@ -29,21 +29,24 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_matches(spark, d).select("speciedex_id", "provider", "provider_id")
 
 
-def _rows(spark: SparkSession, d: str) -> DataFrame:
-    return survivors.ranked_rows(table(spark, d, "assertions"), table(spark, d, "providers"))
+def _survive(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return survivors.survive(table(spark, d, "assertions"), table(spark, d, "providers"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = _rows(spark, d)
-    quality, _ = survivors.fit(survivors.patterns(rows))
-    return survivors.best_rows(rows, quality).where("all_best").select("provider", "provider_id", "assertion_hash").distinct()
+    best, _, _ = _survive(spark, d)
+    return best.where("all_best").select("provider", "provider_id", "assertion_hash").distinct()
 
 
 def p6_values(spark: SparkSession, d: str) -> DataFrame:
     """Every value judged true of every taxon and field."""
-    rows = _rows(spark, d)
-    claims = checkpoint(survivors.patterns(rows))
-    return survivors.true_values(rows, claims, *survivors.fit(claims))
+    return _survive(spark, d)[1]
+
+
+def p6_records(spark: SparkSession, d: str) -> DataFrame:
+    """The surviving record of every taxon, field by field."""
+    best, judged, rows = _survive(spark, d)
+    return survivors.resolved(rows, best, judged).select("key", "provider", "provider_id", "assertion_hash", F.to_json("record").alias("record"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +72,7 @@ def p10_text(spark: SparkSession, d: str) -> DataFrame:
     return pii.masked(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_names, p5_found, p5_matches, p6_found, p6_values, p7_found, p8_ids, p9_found, p10_found, p10_text)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_names, p5_found, p5_matches, p6_found, p6_values, p6_records, p7_found, p8_ids, p9_found, p10_found, p10_text)}
 _UNKNOWN = ", ".join(f"'{w}'" for w in survivors.UNKNOWN)
 _FILLED = " + ".join(f"CAST(trim(coalesce(c->>'{f}', '')) <> '' AND lower(trim(c->>'{f}')) NOT IN ({_UNKNOWN}) AS INTEGER)" for f in survivors.FIELDS)
 ORACLE: dict[str, str] = {

@@ -30,15 +30,18 @@ def once(c: Column) -> Column:
     return F.explode(F.array(c))
 
 
-def uncoded(text: Column, codings: int = 4) -> Column:
-    """JSON text without the up to `codings` codings as a string around it."""
+def uncoded(text: Column) -> Column:
+    """JSON text without the codings as a string around it, however many.
+
+    Every coding but the first doubles what stands before the quotes, so a text has no more of them than its length
+    has binary digits.
+    """
     def inner(t: Column) -> Column:
         return F.from_json(F.concat(F.lit("["), t, F.lit("]")), T.ArrayType(T.StringType()))[0]
 
-    coded = inner(text)
-    for _ in range(codings - 1):
-        coded = F.when(F.ltrim(coded).startswith('"'), inner(coded)).otherwise(coded)
-    return F.when(F.ltrim(text).startswith('"'), coded).otherwise(text)
+    most = F.ceil(F.log2(F.length(text) + F.lit(1.0))).cast("int") + 1
+    peeled = F.aggregate(F.sequence(F.lit(1), most), text, lambda t, i: F.when(F.ltrim(t).startswith('"'), inner(t)).otherwise(t))
+    return F.when(F.ltrim(text).startswith('"'), peeled).otherwise(text)
 
 
 def fields_of(df: DataFrame, text: str, fields: list[str], out: str) -> DataFrame:
@@ -140,6 +143,30 @@ def fit(pattern_rows: DataFrame, rounds: int = 6, bound: int = 2000) -> tuple[di
     return quality, prior
 
 
+def resolved(rows: DataFrame, best: DataFrame, judged: DataFrame) -> DataFrame:
+    """best with record: of every field the values of the surviving record.
+
+    Where the sources disagree the model chooses: a field holds every value judged true, spelt as in the surviving row
+    if that row gives it; a field of which no value is judged true keeps the value of the surviving row.
+    """
+    names = F.array(*map(F.lit, FIELDS))
+    chosen = best.join(rows.select("key", "provider", "provider_id", "assertion_hash", "values").groupBy("key", "provider", "provider_id", "assertion_hash").agg(F.max("values").alias("values")), ["key", "provider", "provider_id", "assertion_hash"])
+    own = chosen.select("key", F.posexplode("values").alias("f", "own")).select("key", F.get(names, F.col("f")).alias("field"), "own").where("own is not null")
+    true = judged.groupBy("key", "field").agg(F.sort_array(F.collect_set("value")).alias("true"))
+    fields = own.join(true, ["key", "field"], "full")
+    kept = F.when(F.col("true").isNull(), F.array("own")).otherwise(F.transform("true", lambda v: F.when(F.lower(v) == F.lower(F.col("own")), F.col("own")).otherwise(v)))
+    record = fields.groupBy("key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", kept.alias("values"))))).alias("record"))
+    return best.join(record, "key", "left")
+
+
+def survive(assertions: DataFrame, providers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(surviving rows as of `best_rows`, values judged true as of `true_values`, all rows): the text is parsed once."""
+    rows = checkpoint(ranked_rows(assertions, providers))
+    claims = checkpoint(patterns(rows))
+    quality, prior = fit(claims)
+    return best_rows(rows, quality), true_values(rows, claims, quality, prior), rows
+
+
 def best_rows(rows: DataFrame, quality: dict[str, tuple[float, float]]) -> DataFrame:
     """The surviving row of each group of at least two distinct rows, with what it reaches.
 

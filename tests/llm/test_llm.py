@@ -206,6 +206,15 @@ def test_link(spark):
     assert variants.link(spark.createDataFrame([], "a string"), "a", persons, "author_id", "full_name").count() == 0
 
 
+def test_short_names_and_short_forms(spark):
+    persons = spark.createDataFrame([(1, "Olga Mora"), (2, "Robert Lindvane"), (3, "Robert Ostragg"), (4, "Clara Ostragg")], "author_id bigint, full_name string")
+    texts = ["Mara", "Moro, 1900", "Omra", "Moraxx", "Bob Lindvane", "Lindvane, Bob", "Bob Ostragg, 1950", "Zed Ostragg"]
+    got = {}
+    for r in variants.link(spark.createDataFrame([(t,) for t in texts], "a string"), "a", persons, "author_id", "full_name").collect():
+        got.setdefault(r.text, set()).add(r.person)
+    assert got == {"Mara": {1}, "Moro, 1900": {1}, "Omra": {1}, "Bob Lindvane": {2}, "Lindvane, Bob": {2}, "Bob Ostragg, 1950": {3}}
+
+
 # --- problem 5 --------------------------------------------------------------------------------------------------
 def test_slips():
     assert entities.slip("abcd", "abdc") and entities.slip("abcd", "abd") and entities.slip("abcd", "abxd") and entities.slip("", "a") and not entities.slip("abcd", "badc") and not entities.slip("abcd", "ab")
@@ -322,6 +331,24 @@ def test_survivors(spark):
     assert survivors.fit(survivors.patterns(empty)) == ({}, 0.5) and survivors.best_rows(empty, {}).count() == 0
 
 
+@pytest.mark.parametrize("wrap", [1, 3, 8, 14])
+def test_text_coded_often_counts_as_its_content(spark, wrap):
+    rows = [assertion("p1", "1", "aa", "2024-01-01", wrap=wrap, family="F", genus="G"), assertion("p1", "2", "aa", "2024-01-01", wrap=wrap, cut=True, family="F")]
+    ranked = survivors.ranked_rows(spark.createDataFrame(rows, SCHEMA).drop("trust"), spark.createDataFrame([("p1", 5)], "provider string, trust int"))
+    assert {r.provider_id: r.filled for r in ranked.collect()} == {"1": 2, "2": 0}
+
+
+def test_records_are_built_field_by_field(spark):
+    rows = [assertion(f"p{n}", str(n), "aa", f"2024-01-0{n}", family="Fine", genus="G" if n < 3 else "Wrong", rank="species") for n in range(1, 4)]
+    rows += [assertion(f"p{n}", f"{n}{k}", f"k{k}", "2024-01-01", family="F", genus="G" if n < 3 else f"W{k}", rank="r") for k in range(30) for n in range(1, 4)]
+    df, providers = spark.createDataFrame(rows, SCHEMA).drop("trust"), spark.createDataFrame([("p3", 5)], "provider string, trust int")
+    best, judged, every = survivors.survive(df, providers)
+    got = {r.key: r for r in survivors.resolved(every, best, judged).collect()}
+    assert got["aa"].provider_id == "3" and got["aa"].all_best and got["aa"].record == {"family": ["Fine"], "genus": ["G"], "rank": ["species"]}
+    best, judged, every = survivors.survive(df.limit(0), providers)
+    assert survivors.resolved(every, best, judged).count() == 0
+
+
 def test_em_finds_the_bad_source(spark):
     rng = random.Random(7)
     rows = []
