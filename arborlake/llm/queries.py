@@ -17,7 +17,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_names(spark: SparkSession, d: str) -> DataFrame:
     """Every name of taxa in its consistent form."""
-    return table(spark, d, "taxa").select("speciedex_id", *[unitext.canonical_column(F.col(c)).alias(c) for c in NAMES]).distinct()
+    looks = unitext.all_looks(spark)
+    return table(spark, d, "taxa").select("speciedex_id", *[unitext.canonical_column(F.col(c), looks).alias(c) for c in NAMES]).distinct()
 
 
 def p5_matches(spark: SparkSession, d: str) -> DataFrame:

@@ -13,8 +13,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
@@ -32,6 +31,22 @@ VISIBLE = ("<super>", "<sub>", "<fraction>", "<circle>", "<square>", "<vertical>
 SUSPECT = r"[^\x20-\x7e]"
 
 
+def all_looks(spark: SparkSession) -> dict[str, str]:
+    """LOOKS and every other letter of Unicode whose confusable prototype is one plain Latin letter.
+
+    The prototypes are those of the Unicode confusables data, read in one call from the library for it that Spark
+    ships; without a JVM on the driver only LOOKS. Greek and Cyrillic keep the fixed values, as the data also joins
+    letters of these that differ to the eye.
+    """
+    if not hasattr(spark, "_jvm"):
+        return LOOKS
+    rest = [ch for o in range(0x250, 0x20000) if not (0x370 <= o < 0x530 or 0x1D2B <= o < 0x1D2C or 0x1E00 <= o < 0x2000 or 0x3400 <= o < 0xA000 or 0xAC00 <= o < 0xF900) and unicodedata.category(ch := chr(o)) in ("Lu", "Ll", "Lo", "Lm") and unicodedata.is_normalized("NFKC", ch)]
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    shown = checker.getSkeleton("\n".join(rest)).split("\n")
+    found = {ch: "I" if p == "l" and unicodedata.category(ch) != "Ll" else p for ch, p in zip(rest, shown) if len(p) == 1 and p.isascii() and p.isalpha()}
+    return {**found, **LOOKS} if len(shown) == len(rest) else LOOKS
+
+
 def _class(codes: list[int]) -> str:
     out, i = [], 0
     while i < len(codes):
@@ -88,34 +103,35 @@ def splice(text: str, change: Callable[[str], str]) -> str:
 
 
 _WORD = re.compile(r"[^\W\d_]+")
-_OTHER = re.compile("[\u0370-\u03ff\u0400-\u052f\u1f00-\u1fff]")
+_OTHER = re.compile("[\u0250-\u02af\u0370-\u1dff\u1f00-\u1fff\u2c00-\ud7ff\U00010000-\U0001ffff]")
 
 
+@lru_cache(maxsize=4096)
 def _script(ch: str) -> str:
     o = ord(ch)
-    return "LATIN" if o < 0x250 or 0x1E00 <= o < 0x1F00 else "GREEK" if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000 else "CYRILLIC" if 0x400 <= o < 0x530 else "OTHER"
+    return "LATIN" if o < 0x250 or 0x1E00 <= o < 0x1F00 else "GREEK" if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000 else "CYRILLIC" if 0x400 <= o < 0x530 else unicodedata.name(ch, "OTHER").split()[0]
 
 
-def _settle(text: str) -> str:
+def _settle(text: str, looks: dict[str, str] = LOOKS) -> str:
     """Letters that only look Latin become Latin, or the other way round in a word that is truly of another script."""
     if not _OTHER.search(text):
         return text
     words = [(m.start(), m.group()) for m in _WORD.finditer(text)]
     kinds = [{"LATIN"} if w.isascii() else {_script(c) for c in w} for _, w in words]
     # A word is truly of a script if it has a letter of it that no Latin letter looks like.
-    true = [{_script(c) for c in w if c not in LOOKS} - {"LATIN", "OTHER"} for _, w in words]
+    true = [{_script(c) for c in w if c not in looks} - {"LATIN"} for _, w in words]
     out, last = [], 0
     for i, (at, w) in enumerate(words):
-        other = kinds[i] & {"GREEK", "CYRILLIC"}
+        other = kinds[i] - {"LATIN"} | {_script(c) for c in w if c in looks}
         if not other:
             continue
         if true[i]:
-            back = BACK[next(iter(true[i]))] if len(true[i]) == 1 else {}
+            back = BACK.get(next(iter(true[i])), {}) if len(true[i]) == 1 else {}
             new = "".join(back.get(c, c) for c in w) if "LATIN" in kinds[i] and all(c in back for c in w if _script(c) == "LATIN") else w
         elif "LATIN" not in kinds[i] and any(other & t for t in true[max(0, i - 1) : i + 2]):
             new = w  # an initial or short word beside a word of the same script
         else:
-            new = "".join(LOOKS.get(c, c) for c in w)
+            new = "".join(looks.get(c, c) for c in w)
         out += [text[last:at], new]
         last = at + len(w)
     return "".join(out) + text[last:]
@@ -127,16 +143,16 @@ def _run(segment: str) -> str:
     return "".join(" " if c == "\t" or unicodedata.category(c) in ("Zs", "Zl", "Zp") else c for c in s)
 
 
-def canonical(text: str | None, blanks: bool = True) -> str | None:
+def canonical(text: str | None, blanks: bool = True, looks: dict[str, str] = LOOKS) -> str | None:
     """The one consistent form; `blanks` also makes each run of blanks one space and trims. None stays None."""
     if text is None:
         return None
     if not text.isascii() or not text.isprintable():
-        text = _settle(splice(text, _run))
+        text = _settle(splice(text, _run), looks)
     return " ".join(text.split()) if blanks else text
 
 
-def disguised(text: str | None) -> bool:
+def disguised(text: str | None, looks: dict[str, str] = LOOKS) -> bool:
     """Holds a character or sequence that passes for ordinary text, or for nothing, but is another one."""
     if text is None or text.isascii() and text.isprintable():
         return False
@@ -146,24 +162,15 @@ def disguised(text: str | None) -> bool:
         if not unicodedata.is_normalized("NFC", run) or any(c in no and not unicodedata.decomposition(c).startswith(VISIBLE) for c in run):
             return True
     plain = splice(text, _run)
-    return _settle(plain) != plain
-
-
-@F.pandas_udf(StringType())
-def _canonical(s: pd.Series) -> pd.Series:
-    return s.map(canonical, na_action="ignore").astype(object)
-
-
-@F.pandas_udf(BooleanType())
-def _disguised(s: pd.Series) -> pd.Series:
-    return s.map(disguised, na_action="ignore").astype(object)
+    return _settle(plain, looks) != plain
 
 
-def canonical_column(c: Column) -> Column:
+def canonical_column(c: Column, looks: dict[str, str] = LOOKS) -> Column:
     """Consistent form of a text column. Plain ASCII never leaves the JVM: only suspect values go through Python."""
+    form = F.pandas_udf(lambda s: s.map(lambda t: canonical(t, looks=looks), na_action="ignore").astype(object), StringType(), F.PandasUDFType.SCALAR)
     suspect = c.rlike(SUSPECT)
     plain = F.trim(F.regexp_replace(c, " +", " "))
-    return F.when(suspect, _canonical(F.when(suspect, c))).otherwise(plain)
+    return F.when(suspect, form(F.when(suspect, c))).otherwise(plain)
 
 
 def disguises(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -171,5 +178,7 @@ def disguises(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
     Null, empty and plain values give no row; repeated rows are repeated; an empty table gives no rows.
     """
+    looks = all_looks(df.sparkSession)
+    told = F.pandas_udf(lambda s: s.map(lambda t: disguised(t, looks), na_action="ignore").astype(object), BooleanType(), F.PandasUDFType.SCALAR)
     cells = df.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])).alias("cell")).select(key, "cell.*")
-    return cells.where(F.col("value").rlike(SUSPECT)).where(_disguised("value"))
+    return cells.where(F.col("value").rlike(SUSPECT)).where(told("value"))

@@ -30,6 +30,13 @@ def test_forms(text, form, case):
     assert unitext.canonical(form) == form
 
 
+def test_letters_of_all_scripts(spark):
+    looks = unitext.all_looks(spark)
+    assert len(looks) > 200 and all(len(v) == 1 and v.isascii() for v in looks.values())
+    for text, form in (("Օsmunda", "Osmunda"), ("Ꭺcer", "Acer"), ("Ⲥarex", "Carex"), ("ꮪalix", "salix"), ("ᴏak", "oak"), ("Քարտեզ", "Քարտեզ"), ("ᏣᎳᎩ", "ᏣᎳᎩ"), ("Юдин", "Юдин"), ("日本 Aus", "日本 Aus")):
+        assert unitext.canonical(text, looks=looks) == form and unitext.disguised(text, looks) is (text != form), text
+
+
 def test_disguises_table(spark):
     df = spark.createDataFrame([("1", "A​us", "Aus", 1), ("1", "A​us", "Aus", 2), ("2", None, "", 3), ("3", "x" * 100_000 + " ", "y", 4)], "id string, scientific_name string, canonical_name string, value int")
     got = sorted((r.id, r.field_name) for r in unitext.disguises(df, "id", ["scientific_name", "canonical_name"]).collect())
