@@ -34,18 +34,25 @@ def lineage_count(df: DataFrame, rank: str, column: str) -> DataFrame:
     return own.unionByName(seen).where("trim(name) <> ''").distinct().agg(F.count(F.lit(1)).alias("count"))
 
 
+def newest(df: DataFrame, keys: list[str], when: str = "loaded_at") -> DataFrame:
+    """One row a key: the latest, of equal ones that with the greatest text; the same whatever the partitioning."""
+    rest = [c for c in df.columns if c not in keys]
+    order = F.struct(*([when] if when in rest else []), F.to_json(F.struct(*sorted(rest)), {"ignoreNullFields": "false"}))
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_m")).select(*keys, "_m.*") if rest else df.distinct()
+
+
 def status_fold(assertions: DataFrame, taxa: DataFrame, key: str = "speciedex_id") -> DataFrame:
     """provider, accepted, synonym, unknown over assertions joined with taxa; reference falls to unknown."""
     s = F.lower(F.trim(F.col("status")))
     kind = F.when(s.isin("accepted", "valid", "provisionally accepted"), "accepted").when(s.isin(SYNONYM), "synonym").otherwise("unknown")
-    one = taxa.select(key, kind.alias("kind")).dropDuplicates([key])
+    one = newest(taxa.select(key, kind.alias("kind"), *[c for c in ("loaded_at",) if c in taxa.columns]), [key]).select(key, "kind")
     j = assertions.select("provider", key).join(one, key)
     return j.groupBy("provider").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("accepted", "synonym", "unknown")])
 
 
 def synonym_lookup(synonyms: DataFrame, taxa: DataFrame, key: str, filters: dict[str, str] | None = None, limit: int = 50) -> DataFrame:
     """Taxa of a synonym key: providers joined by commas in order and their number; number desc, id."""
-    hit = synonyms.where(F.lower(F.trim("synonym_key")) == key.strip().lower()).join(taxa.dropDuplicates(["speciedex_id"]).drop("provider", "loaded_at"), "speciedex_id")
+    hit = synonyms.where(F.lower(F.trim("synonym_key")) == key.strip().lower()).join(newest(taxa, ["speciedex_id"]).drop("provider", "loaded_at"), "speciedex_id")
     for c, v in (filters or {}).items():
         hit = hit.where(F.lower(F.col(c)) == v.lower())
     return hit.groupBy("speciedex_id", "canonical_name", "rank").agg(F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("providers"), F.count_distinct("provider").alias("provider_count")).orderBy(F.desc("provider_count"), "speciedex_id").limit(limit)
@@ -78,8 +85,8 @@ def replace_synonyms(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def insert_new(old: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(rows to append, rows refused because their key is there already or twice in the batch)."""
-    w = Window.partitionBy(key).orderBy(F.lit(1))
+    """(rows to append, rows refused because their key is there already or twice in the batch; the first by its text is taken)."""
+    w = Window.partitionBy(key).orderBy(F.to_json(F.struct(*sorted(new.columns)), {"ignoreNullFields": "false"}))
     numbered = new.withColumn("_n", F.row_number().over(w))
     fresh = numbered.join(old.select(key).distinct(), key, "left_anti").where("_n = 1").drop("_n")
     refused = numbered.join(old.select(key).distinct(), key, "left_semi").drop("_n").unionByName(numbered.join(old.select(key).distinct(), key, "left_anti").where("_n > 1").drop("_n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlake.operators.hierarchy import resolve
+from arborlake.session import folder_names, shared_folder
 
 
 def build_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,9 +50,32 @@ def tree_metrics(links: DataFrame) -> DataFrame:
 
 
 def roll_up(links: DataFrame, values: DataFrame) -> DataFrame:
-    """node, total: its own value and those of all below it."""
-    r = resolve(links, with_paths=True).where("path is not null").join(values, "node", "left")
-    return r.select(F.explode("path").alias("node"), F.coalesce("value", F.lit(0.0)).alias("value")).groupBy("node").agg(F.sum("value").alias("total"))
+    """node, total: the greater of its own value and the sum of the totals of its children; nodes on circles are left out.
+
+    Levels are written once, split by depth, and added up from the deepest: each level is read and shuffled once,
+    whatever the depth. Values that repeat for a node count as their greatest.
+    """
+    spark = links.sparkSession
+    out = shared_folder(spark, "levels")
+    # A node that only stands above others is a node, too.
+    every = links.select("node", "up").unionByName(links.where("up is not null").select(F.col("up").alias("node"), F.lit(None).cast("string").alias("up")))
+    one = every.groupBy("node").agg(F.max("up").alias("up"))
+    own = values.groupBy("node").agg(F.max("value").cast("double").alias("value"))
+    rows = resolve(one).where("depth is not null").select("node", "depth").join(one, "node").join(own, "node", "left")
+    rows.select("node", "up", F.coalesce("value", F.lit(0.0)).alias("value"), "depth").write.partitionBy("depth").parquet(out)
+    levels = sorted((int(n.split("=")[1]) for n in folder_names(spark, out) if n.startswith("depth=")), reverse=True)
+    schema, below = "node string, up string, value double", None
+    for d in levels:
+        level = spark.read.schema(schema).parquet(f"{out}/depth={d}")
+        total = F.col("value")
+        if below is not None:
+            level = level.join(below, "node", "left")
+            total = F.greatest("value", F.coalesce("sum", F.lit(0.0)))
+        level.select("node", "up", total.alias("total")).write.parquet(f"{out}/totals/level={d}")
+        below = spark.read.schema("node string, up string, total double").parquet(f"{out}/totals/level={d}").groupBy(F.col("up").alias("node")).agg(F.sum("total").alias("sum"))
+    if not levels:
+        return spark.createDataFrame([], "node string, total double")
+    return spark.read.schema("node string, up string, total double").parquet(*[f"{out}/totals/level={d}" for d in levels]).select("node", "total")
 
 
 def branch_lengths(links: DataFrame, lengths: DataFrame) -> DataFrame:

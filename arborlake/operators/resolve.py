@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.functions import taxonomy as X
+from arborlake.operators.archive import newest
 from arborlake.session import checkpoint
 
 # Points of agreeing fields, and the thresholds of a match and a conflict.
@@ -94,10 +95,10 @@ def reconcile(new: DataFrame, taxa: DataFrame, source_ids: DataFrame, weights: d
     Rows of one identity within the batch resolve alike, so none depends on the order.
     """
     key = ["provider", "provider_id"]
-    rows = new.dropDuplicates(key)
+    rows = newest(new, key, "retrieved_at")
     ident = X.identity_key(F.col("canonical_name"), F.col("rank"), F.col("kingdom"), F.col("authorship"))
     rows = rows.withColumn("_ident", ident).withColumn("_name", F.concat_ws("|", X.key(F.col("canonical_name")), X.key(F.col("rank")), X.key(F.col("kingdom"))))
-    have = taxa.dropDuplicates(["speciedex_id"]).withColumn("_ident", ident).withColumn("_name", F.concat_ws("|", X.key(F.col("canonical_name")), X.key(F.col("rank")), X.key(F.col("kingdom"))))
+    have = newest(taxa, ["speciedex_id"]).withColumn("_ident", ident).withColumn("_name", F.concat_ws("|", X.key(F.col("canonical_name")), X.key(F.col("rank")), X.key(F.col("kingdom"))))
     by_source = rows.select(key).join(source_ids.groupBy(*key).agg(F.min("speciedex_id").alias("s_id")), key)
     by_ident = rows.select(*key, "_ident").join(have.groupBy("_ident").agg(F.count(F.lit(1)).alias("i_n"), F.min("speciedex_id").alias("i_id")), "_ident").select(*key, "i_n", "i_id")
     weight = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.lower("a.provider")], F.lit(default)) if weights else F.lit(default)
@@ -110,6 +111,40 @@ def reconcile(new: DataFrame, taxa: DataFrame, source_ids: DataFrame, weights: d
     return j.select(*key, action.alias("action"), target.alias("speciedex_id"), F.round("score", 6).alias("score"), reason.alias("reason"))
 
 
+def basic_score(a: str, b: str) -> Column:
+    """Integer points of the reduced matcher: no provider weight, no points for the scientific name or the accepted id; raw below 35 stays below 50."""
+    def same(f: str) -> Column:
+        return (X.key(F.col(f"{a}.{f}")) != "") & (X.key(F.col(f"{a}.{f}")) == X.key(F.col(f"{b}.{f}")))
+    raw = sum((F.when(same(f), p).otherwise(0) for f, p in FIELD_POINTS.items() if f != "scientific_name"), F.lit(0))
+    line = sum((F.when(same(f), LINEAGE_POINTS).otherwise(0) for f in ("phylum", "class_name", "order_name", "family", "genus")), F.lit(0))
+    return (raw + F.least(F.lit(LINEAGE_MOST), line)).cast("int")
+
+
+def basic_candidates(new: DataFrame, taxa: DataFrame) -> DataFrame:
+    """provider, provider_id, speciedex_id, score of the candidates of one name, rank and kingdom under `basic_score`, best first a record; ties by id."""
+    name = lambda: F.concat_ws("|", X.key(F.col("canonical_name")), X.key(F.col("rank")), X.key(F.col("kingdom")))
+    rows = newest(new, ["provider", "provider_id"], "retrieved_at").withColumn("_name", name())
+    have = newest(taxa, ["speciedex_id"]).withColumn("_name", name())
+    pairs = rows.alias("a").join(have.alias("b"), F.col("a._name") == F.col("b._name"))
+    return pairs.select(F.col("a.provider").alias("provider"), F.col("a.provider_id").alias("provider_id"), F.col("b.speciedex_id").alias("speciedex_id"), basic_score("a", "b").alias("score"))
+
+
+def apply_result(actions: DataFrame, assertions: DataFrame, new: DataFrame) -> DataFrame:
+    """provider, provider_id, speciedex_id, outcome of each reconciled record.
+
+    A match is attached: `revised` if an assertion of that source id was there with another hash, `unchanged` if with
+    the same one, else `matched`; a new one is `created` under the id of its identity; a conflict is `conflicted` and
+    has no id.
+    """
+    key = ["provider", "provider_id"]
+    rows = newest(new, key, "retrieved_at")
+    digest = F.sha2(F.to_json(F.struct(*sorted(c for c in rows.columns if c != "retrieved_at")), {"ignoreNullFields": "false"}), 256)
+    made = X.record_id(X.identity_key(F.col("canonical_name"), F.col("rank"), F.col("kingdom"), F.col("authorship")))
+    j = actions.join(rows.select(*key, digest.alias("_new"), made.alias("_made")), key, "left").join(newest(assertions, key).select(*key, F.col("assertion_hash").alias("_old")), key, "left")
+    outcome = F.when(F.col("action") == "conflict", "conflicted").when(F.col("action") == "create", "created").when(F.col("_old").isNull(), "matched").when(F.col("_old") != F.col("_new"), "revised").otherwise("unchanged")
+    return j.select(*key, F.when(F.col("action") == "create", F.col("_made")).otherwise(F.col("speciedex_id")).alias("speciedex_id"), outcome.alias("outcome"))
+
+
 def duplicate_pairs(taxa: DataFrame, key: str = "speciedex_id", hot: int = 1000, providers: DataFrame | None = None, synonyms: DataFrame | None = None) -> DataFrame:
     """a, b, score, verdict of candidate pairs scored at least 0.68.
 
@@ -121,7 +156,7 @@ def duplicate_pairs(taxa: DataFrame, key: str = "speciedex_id", hot: int = 1000,
     depends on its size.
     """
     fields = ["canonical_name", "scientific_name", "authorship", "rank", "kingdom", "phylum", "class_name", "order_name", "family", "genus", "status"]
-    rows = taxa.select(key, *fields).dropDuplicates([key])
+    rows = newest(taxa.select(key, *fields, *[c for c in ("loaded_at",) if c in taxa.columns]), [key]).select(key, *fields)
     for name, df, c in (("providers", providers, "provider"), ("synonyms", synonyms, "synonym_key")):
         if df is not None:
             rows = rows.join(df.select(key, X.key(F.col(c)).alias("v")).where("v <> ''").groupBy(key).agg(F.array_sort(F.collect_set("v")).alias(name)), key, "left")
@@ -200,7 +235,7 @@ def preferred(members: DataFrame, taxa: DataFrame, providers: DataFrame, key: st
     """cluster, keep: accepted first, then most providers, fullest lineage, has an author; then the greatest id."""
     n = providers.groupBy(key).agg(F.count_distinct("provider").alias("n"))
     full = sum((F.when(~blank(c), 1).otherwise(0) for c in ("kingdom", "phylum", "class_name", "order_name", "family", "genus")), F.lit(0))
-    t = taxa.dropDuplicates([key]).select(key, F.struct(X.is_accepted(F.col("status")).alias("ok"), full.alias("full"), (~blank("authorship")).alias("author")).alias("q"))
+    t = newest(taxa, [key]).select(key, F.struct(X.is_accepted(F.col("status")).alias("ok"), full.alias("full"), (~blank("authorship")).alias("author")).alias("q"))
     j = members.join(t, members.node == t[key]).join(n, key, "left")
     return j.groupBy("cluster").agg(F.max_by(key, F.struct(F.col("q.ok"), F.coalesce("n", F.lit(0)), F.col("q.full"), F.col("q.author"), F.col(key))).alias("keep"))
 

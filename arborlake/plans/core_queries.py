@@ -215,13 +215,8 @@ def agg_duplicates(t: _T) -> DataFrame:
     return sets.duplicates(t("lineitem"), ["l_partkey", "l_suppkey"], "l_orderkey")
 
 
-@query("SELECT lower(synonym_key) AS synonym_key, count(DISTINCT speciedex_id) AS taxa FROM synonyms WHERE synonym_key LIKE 'b%' GROUP BY 1")
-def jon_synonyms(t: _T) -> DataFrame:
-    return t("synonyms").where(F.col("synonym_key").startswith("b")).groupBy(F.lower("synonym_key").alias("synonym_key")).agg(F.count_distinct("speciedex_id").alias("taxa"))
-
-
 @query("SELECT lower(synonym_key) AS synonym_key, count(DISTINCT speciedex_id) AS taxa FROM synonyms GROUP BY 1")
-def jon_synonyms_all(t: _T) -> DataFrame:
+def jon_synonyms(t: _T) -> DataFrame:
     return t("synonyms").groupBy(F.lower("synonym_key").alias("synonym_key")).agg(F.count_distinct("speciedex_id").alias("taxa"))
 
 
@@ -301,9 +296,9 @@ def agg_matrix(t: _T) -> DataFrame:
     return m.select("row", "column", F.round("value", 2).alias("value"), F.round("scaled", 6).alias("scaled"))
 
 
-@query(r"SELECT lower(w) AS key, count(*) AS count FROM (SELECT unnest(regexp_split_to_array(text, '[\s,;|/\\]+')) AS w FROM benchmark) WHERE length(w) BETWEEN 2 AND 80 GROUP BY 1")
+@query(r"SELECT lower(w) AS key, count(*) AS count FROM (SELECT unnest(regexp_split_to_array(text, '[\s,;|/\\]+')) AS w FROM documents) WHERE length(w) BETWEEN 2 AND 80 GROUP BY 1")
 def agg_words(t: _T) -> DataFrame:
-    return stats.word_counts(t("benchmark"), "text").select("key", "count")
+    return stats.word_counts(t("documents"), "text").select("key", "count")
 
 
 @query("SELECT count(value) AS count, round(sum(value), 3) AS sum, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, count(*) FILTER (WHERE value <= 10) AS le_10, count(*) FILTER (WHERE value <= 50) AS le_50, count(*) FILTER (WHERE value <= 100) AS le_100 FROM events")
@@ -334,13 +329,8 @@ for _b, _k in _KEYS.items():
     ORACLE["win_timeline_" + _b] = f"SELECT event_type AS \"group\", {_k} AS bucket, n AS count, CAST(sum(n) OVER (PARTITION BY event_type ORDER BY s) AS BIGINT) AS running FROM (SELECT event_type, date_trunc('{_b}', ts) AS s, count(*) AS n FROM events GROUP BY 1, 2)"
 
 
-@query("""WITH c AS (SELECT event_type AS g, date_trunc('hour', ts) AS s, count(*) AS n FROM events WHERE user_id % 50 = 0 GROUP BY 1, 2), e AS (SELECT g, unnest(generate_series(min(s), max(s), INTERVAL 1 HOUR)) AS s FROM c GROUP BY 1) SELECT e.g AS "group", e.s AS start, coalesce(n, 0) AS count FROM e LEFT JOIN c ON c.g = e.g AND c.s = e.s""")
-def win_fill(t: _T) -> DataFrame:
-    return timeline.timeline(t("events").where("user_id % 50 = 0"), "ts", "hour", by="event_type", fill=True).select("group", "start", "count")
-
-
 @query("""WITH c AS (SELECT event_type AS g, date_trunc('hour', ts) AS s, count(*) AS n FROM events GROUP BY 1, 2), e AS (SELECT g, unnest(generate_series(min(s), max(s), INTERVAL 1 HOUR)) AS s FROM c GROUP BY 1) SELECT e.g AS "group", e.s AS start, coalesce(n, 0) AS count FROM e LEFT JOIN c ON c.g = e.g AND c.s = e.s""")
-def win_fill_all(t: _T) -> DataFrame:
+def win_fill(t: _T) -> DataFrame:
     return timeline.timeline(t("events"), "ts", "hour", by="event_type", fill=True).select("group", "start", "count")
 
 
@@ -439,14 +429,8 @@ def ord_tags(t: _T) -> DataFrame:
 
 
 # --- scalars ----------------------------------------------------------------------------------------------------
-@query(r"SELECT DISTINCT speciedex_id, lower(trim(regexp_replace(coalesce(canonical_name, ''), '\s+', ' ', 'g'))) || '|' || lower(trim(regexp_replace(coalesce(rank, ''), '\s+', ' ', 'g'))) || '|' || lower(trim(regexp_replace(coalesce(kingdom, ''), '\s+', ' ', 'g'))) AS key FROM taxa WHERE regexp_matches(canonical_name, '^[\x20-\x7e]*$')")
+@query(r"SELECT DISTINCT speciedex_id, lower(trim(regexp_replace(coalesce(canonical_name, ''), '\s+', ' ', 'g'))) || '|' || lower(trim(regexp_replace(coalesce(rank, ''), '\s+', ' ', 'g'))) || '|' || lower(trim(regexp_replace(coalesce(kingdom, ''), '\s+', ' ', 'g'))) AS key FROM taxa")
 def scl_identity(t: _T) -> DataFrame:
-    df = t("taxa").where(F.col("canonical_name").rlike(r"^[\x20-\x7e]*$"))
-    return df.select("speciedex_id", F.concat_ws("|", X.key(F.col("canonical_name")), X.key(F.col("rank")), X.key(F.col("kingdom"))).alias("key")).distinct()
-
-
-@query()
-def scl_identity_all(t: _T) -> DataFrame:
     return t("taxa").select("speciedex_id", F.concat_ws("|", X.key(F.col("canonical_name")), X.key(F.col("rank")), X.key(F.col("kingdom"))).alias("key")).distinct()
 
 
@@ -473,10 +457,9 @@ def scl_ranks(t: _T) -> DataFrame:
     return t("taxa").groupBy("rank", X.rank_order(r).alias("place"), X.rank_neighbour(r, -1).alias("above")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT DISTINCT speciedex_id, phylum || ' > ' || order_name AS path FROM taxa WHERE trim(phylum) <> '' AND trim(order_name) <> ''")
+@query("SELECT DISTINCT speciedex_id, concat_ws(' > ', nullif(trim(phylum), ''), nullif(trim(order_name), '')) AS path FROM taxa")
 def scl_lineage(t: _T) -> DataFrame:
-    df = t("taxa").where("trim(phylum) <> '' and trim(order_name) <> ''")
-    return df.select("speciedex_id", X.lineage_path(X.lineage({"order": F.col("order_name"), "phylum": F.col("phylum")})).alias("path")).distinct()
+    return t("taxa").select("speciedex_id", X.lineage_path(X.lineage({"order": F.col("order_name"), "phylum": F.col("phylum")})).alias("path")).distinct()
 
 
 @query(r"SELECT DISTINCT authorship, CAST(nullif(regexp_extract(authorship, '\b(1[5-9]\d{2}|20\d{2})[a-z]?\b', 1), '') AS INTEGER) AS year FROM taxa WHERE authorship IS NOT NULL")
@@ -524,14 +507,14 @@ def geo_box(t: _T) -> DataFrame:
     return _points(t).where(geo.in_box(-20, 170, 20, -170)).select("o_orderkey")
 
 
-@query(f"SELECT o_orderkey FROM {_POINTS} WHERE lng > 0 AND lat > 0 AND lat + lng < 60 AND lat <> 0 AND lng <> 0")
+@query(f"SELECT o_orderkey FROM {_POINTS} WHERE lat >= 0 AND lat < 60 AND (lng < 0) <> (lng < 60 - lat)")
 def geo_polygon(t: _T) -> DataFrame:
-    return _points(t).where("lat <> 0 and lng <> 0 and lat + lng <> 60").where(geo.in_polygon([(0.0, 0.0), (60.0, 0.0), (0.0, 60.0)])).select("o_orderkey")
+    return _points(t).where(geo.in_polygon([(0.0, 0.0), (60.0, 0.0), (0.0, 60.0)])).select("o_orderkey")
 
 
-@query(f"SELECT count(*) AS points, round(degrees(atan2(avg(sin(radians(lat))), sqrt(pow(avg(cos(radians(lat)) * cos(radians(lng))), 2) + pow(avg(cos(radians(lat)) * sin(radians(lng))), 2)))), 4) AS lat FROM {_POINTS} WHERE lng BETWEEN 0 AND 40 AND lat BETWEEN 0 AND 30")
+@query(f"SELECT count(*) AS points, round(degrees(atan2(avg(sin(radians(lat))), sqrt(pow(avg(cos(radians(lat)) * cos(radians(lng))), 2) + pow(avg(cos(radians(lat)) * sin(radians(lng))), 2)))), 4) AS lat FROM {_POINTS}")
 def geo_centroid(t: _T) -> DataFrame:
-    return _r(geo.centroid(_points(t).where("lng between 0 and 40 and lat between 0 and 30")).select("points", "lat"), 4)
+    return _r(geo.centroid(_points(t)).select("points", "lat"), 4)
 
 
 @query("SELECT o_orderkey, CASE WHEN s = 0 THEN 'winter' WHEN s = 1 THEN 'spring' WHEN s = 2 THEN 'summer' ELSE 'autumn' END AS season FROM (SELECT o_orderkey, CASE WHEN o_custkey % 170 - 85 < 0 THEN ((month(o_orderdate) % 12) // 3 + 2) % 4 ELSE (month(o_orderdate) % 12) // 3 END AS s FROM orders)")
@@ -545,17 +528,10 @@ def _hierarchy(t: _T) -> tuple[DataFrame, DataFrame]:
     return links, t("customer").select(F.concat(F.lit("c"), "c_custkey").alias("node"), F.col("c_acctbal").alias("value"))
 
 
-@query("SELECT 'r' || r_regionkey AS node, CAST(1 AS BIGINT) AS depth, count(DISTINCT c_custkey) + count(DISTINCT n_nationkey) FILTER (WHERE c_custkey IS NULL) AS leaves, count(DISTINCT c_custkey) + count(DISTINCT n_nationkey) AS descendants FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+@query("""WITH c AS (SELECT n_nationkey, n_regionkey, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2), r AS (SELECT r_regionkey, count(n_nationkey) AS nations, coalesce(sum(n), 0)::BIGINT AS n, coalesce(sum(greatest(n, 1)), 1)::BIGINT AS leaves FROM region LEFT JOIN c ON n_regionkey = r_regionkey GROUP BY 1)
+SELECT 'c' || c_custkey AS node, CAST(3 AS BIGINT) AS depth, CAST(1 AS BIGINT) AS leaves, CAST(0 AS BIGINT) AS descendants FROM customer UNION ALL SELECT 'n' || n_nationkey, 2, greatest(n, 1), n FROM c UNION ALL SELECT 'r' || r_regionkey, 1, leaves, nations + n FROM r UNION ALL SELECT 'world', 0, sum(leaves)::BIGINT, (count(*) + sum(nations) + sum(n))::BIGINT FROM r""")
 def geo_tree(t: _T) -> DataFrame:
-    m = graph.tree_metrics(_hierarchy(t)[0])
-    return m.where(F.col("node").startswith("r")).select("node", "depth", "leaves", "descendants")
-
-
-@query("SELECT 'n' || n_nationkey AS node, round(sum(c_acctbal), 2) AS total FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
-def geo_roll_up(t: _T) -> DataFrame:
-    links, values = _hierarchy(t)
-    r = graph.roll_up(links, values).where(F.col("node").startswith("n"))
-    return r.where("total <> 0").select("node", F.round("total", 2).alias("total"))
+    return graph.tree_metrics(_hierarchy(t)[0]).select("node", "depth", "leaves", "descendants")
 
 
 @query("SELECT 's' || s_nationkey AS source, 'c' || c_nationkey AS target, round(sum(l_quantity), 2) AS value FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2")

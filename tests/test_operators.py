@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborlake.functions import taxonomy as X
-from arborlake.operators import archive, geo, graph, resolve, sets, stats, timeline
+from arborlake.operators import summaries, archive, geo, graph, resolve, sets, stats, timeline
 from arborlake.sources import files, sinks
 from arborlake.streaming import streams
 
@@ -103,6 +103,9 @@ def test_graph(spark):
     assert m["r"] == (0, 2, 3) and m["a"] == (1, 1, 1) and m["x"] == (None, None, None)
     t = {r.node: r.total for r in graph.roll_up(links, spark.createDataFrame([("c", 2.0), ("b", 1.0)], "node string, value double")).collect()}
     assert t == {"r": 3.0, "a": 2.0, "b": 1.0, "c": 2.0}
+    inner = spark.createDataFrame([("c", 2.0), ("b", 1.0), ("a", 5.0), ("r", 0.5), ("x", 9.0), ("b", 0.5)], "node string, value double")
+    assert {r.node: r.total for r in graph.roll_up(links, inner).collect()} == {"r": 6.0, "a": 5.0, "b": 1.0, "c": 2.0}
+    assert graph.roll_up(links.limit(0), inner).count() == 0
     lin = spark.createDataFrame([("id8", "", [("domain", "D"), ("kingdom", "K")])], "id string, source string, lineage array<struct<rank:string,name:string>>")
     e = graph.expand_lineage(lin, "lineage", "source", "id").orderBy("terminal").collect()
     assert e[1].id == "id8" and e[1].parent_id == e[0].id and e[0].parent_id is None and e[0].id.startswith("speciedex:taxon:")
@@ -151,7 +154,7 @@ def test_identity_keys_of_every_name(spark, tmp_path):
         return " ".join(x for x in re.split(r"[ \t\n\x0b\f\r]+", v or "") if x).lower()
 
     want = {(i, "|".join(map(key, v))) for i, *v in rows}
-    assert {tuple(r) for r in QUERIES["scl_identity_all"](spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in QUERIES["scl_identity"](spark, str(tmp_path)).collect()} == want
 
 
 _TAXON = {"speciedex_id": "", "canonical_name": "Aus bus", "scientific_name": "Aus bus L.", "authorship": "L.", "rank": "species", "kingdom": "Animalia", "phylum": "P", "class_name": "C", "order_name": "O", "family": "F", "genus": "Aus", "status": "accepted"}
@@ -250,3 +253,34 @@ def test_streams(spark, tmp_path):
     run()
     assert {r.k: r.n for r in streams.latest_version(spark, str(tmp_path / "out")).collect()} == {"k1": 9, "k2": 2}
     assert sorted((r.kind, r.record) for r in streams.ingest(df, "m", [F.col("n") > 0]).collect()) == [("json", '{"a":1}'), ("raw", '{"raw":"plain"}')]
+
+
+def test_summaries_of_nulls_and_empty_tables(spark):
+    df = spark.createDataFrame([("a", 1.0, "x"), ("a", None, None), (None, 2.0, " ")], "k string, v double, s string")
+    assert {(r.key, r.records, r.rows) for r in summaries.group_records(df, "k", "v").collect()} == {("a", 1.0, 2), ("unknown", 2.0, 1)}
+    assert {(r.field, r.nulls, r.scalars) for r in summaries.cell_counts(df).collect()} == {("k", 1, 2), ("v", 1, 2), ("s", 1, 2)}
+    assert summaries.missing(df, df.limit(0), ["k", "s"]).count() == 3 and summaries.missing(df, df, ["k", "s"]).count() == 0
+    assert [r.k for r in summaries.grid_filter(df, "X", ["s"]).collect()] == ["a"] and summaries.grid_filter(df, " ", ["s"]).count() == 3
+    assert summaries.index_filter(df, {"v": {"$ne": 1}}).count() == 2 and summaries.index_filter(df, {"k": ["A"], "v": {"$gte": 1, "$odd": 3}}).count() == 1
+    b = one(summaries.chart_bounds(df.where("v is null"), "v"))
+    assert (b.low, b.high) == (-1.0, 1.0)
+    with pytest.raises(ValueError):
+        summaries.table_counts({"x": df}, ["y"])
+    runs = one(summaries.run_summary(spark.createDataFrame([("p", 0, 0, 0, 0, 0, 0)], "p string, fetched int, created int, matched int, revised int, conflicted int, rejected int"), "p"))
+    assert runs.acceptance is None and runs.error_rate is None
+    where = spark.createDataFrame([('{"lat": 95, "lng": 1}',), ("no json",), (None,), ('{"geometry": {"coordinates": [3, 4]}}',)], "j string").select(*summaries.point_of("j")).collect()
+    assert [tuple(r) for r in where] == [(None, None)] * 3 + [(4.0, 3.0)]
+
+
+def test_names_by_words(spark):
+    rows = [("Aus bus Smith, 1900", ""), ("Aus bus (L. & M.) Jones", ""), ("Aus bus cf. cus", ""), ("Aus Smith", ""), ("Aus bus van Berg", ""), ("", ""), (None, None), ("Aus bus L.", "L."), ("cf.", "")]
+    got = spark.createDataFrame(rows, "n string, a string").select(X.without_author(F.col("n"), F.col("a")).alias("x")).collect()
+    assert [r.x for r in got] == ["Aus bus", "Aus bus", "Aus bus", "Aus Smith", "Aus bus van", "", "", "Aus bus", "cf."]
+    years = spark.createDataFrame([("Smith, 1758a",), ("[1999] 2000",), ("12345",), (None,), ("1499",)], "a string").select(X.year_of(F.col("a")).alias("y")).collect()
+    assert [r.y for r in years] == [1758, 1999, None, None, None]
+
+
+def test_repeated_keys_choose_the_newest_row(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), (None, 1, "n")], "k string, loaded_at int, v string")
+    for n in (1, 3):
+        assert {(r.k, r.v) for r in archive.newest(df.repartition(n), ["k"]).collect()} == {("a", "z"), (None, "n")}

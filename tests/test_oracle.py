@@ -36,10 +36,10 @@ def test_entry(spark):
 
 
 def test_gap_filling_counts_every_event(spark, db):
-    got = entry.queries()["win_fill_all"](spark, DATA).collect()
+    got = entry.queries()["win_fill"](spark, DATA).collect()
     assert sum(r["count"] for r in got) == db.execute("SELECT count(*) FROM events WHERE ts IS NOT NULL").fetchone()[0]
 
 
 def test_every_synonym_key_has_a_count(spark, db):
-    got = {r.synonym_key for r in entry.queries()["jon_synonyms_all"](spark, DATA).collect()}
+    got = {r.synonym_key for r in entry.queries()["jon_synonyms"](spark, DATA).collect()}
     assert {k.lower() for k, in db.execute("SELECT synonym_key FROM synonyms WHERE synonym_key IS NOT NULL").fetchall()} == got - {None}
