@@ -255,3 +255,58 @@ def _value(ix: Index, i: int) -> str | None:
     if ix.kind[i] == SCALAR and (w := ix.text(i)) not in _WORDS:
         return w.decode()
     return None
+
+
+def linked(texts: list[str | None]) -> list[tuple[int, str, str | None, str, int, dict[str, str | None]]]:
+    """(text number, row, parent row, path, position, values) of every object and of every plain element of an array.
+
+    row is the place of the object or element within its text, as in `a[0].b`, and parent row that of the object or
+    element around it (None at the root); path is the same without positions, so that rows of one path have one
+    shape. position is that in the nearest array, 0 outside of one. values holds the plain fields of an object as text
+    (null as None, true and numbers as written), or the element itself under `value`. Of a repeated field the last
+    counts. A string that is JSON text of an object or array counts as that.
+    """
+    known = [(i, b) for i, t in enumerate(texts) if (b := unwrap(t)) is not None]
+    if not known:
+        return []
+    ix = Index([b for _, b in known])
+    kind, parent, nth = ix.kind.tolist(), ix.parent.tolist(), ix.nth.tolist()
+    tokens = np.flatnonzero(ix.value & ix.live).tolist()
+    names = {i: _plain(ix.text(i - 2)) for i in tokens if parent[i] >= 0 and kind[parent[i]] == OPEN_OBJ}
+    last = {(parent[i], n): i for i, n in names.items()}
+    out: list[tuple] = []
+    # Of each container: its place, its path, the row that its content belongs to, its position and whether it is in an array.
+    at: dict[int, tuple[str, str, str | None, int, bool]] = {}
+    values: dict[int, dict[str, str | None]] = {}
+    for i in tokens:
+        p = parent[i]
+        if p < 0:
+            place, path, up, pos, listed = "", "", None, 0, False
+        elif p not in at or (i in names and last[p, names[i]] != i):
+            continue
+        else:
+            place, path, up, pos, listed = at[p]
+            if i in names:
+                joint = "." if place else ""
+                place, path, listed = f"{place}{joint}{names[i]}", f"{path}.{names[i]}" if path else names[i], False
+            else:
+                place, path, pos = f"{place}[{nth[i]}]", path + "[]" if listed else path, nth[i]
+        text = int(known[ix.doc[i]][0])
+        if kind[i] == OPEN_OBJ:
+            values[i] = {}
+            out.append((text, place, up, path, pos if i not in names else 0, values[i]))
+            at[i] = (place, path, place, pos, False)
+        elif kind[i] == OPEN_ARR:
+            at[i] = (place, path, up, pos, p >= 0 and kind[p] == OPEN_ARR)
+        else:
+            raw = ix.text(i)
+            v = (_plain(raw) if kind[i] == STRING else None if raw == b"null" else raw.decode())
+            if kind[i] == STRING and v.lstrip()[:1] in ("[", "{", '"') and (inner := linked([v])):
+                for _, row, above, sub, spot, own in inner:
+                    joint = lambda a, b: f"{a}.{b}" if a and b and not b.startswith("[") else a + b
+                    out.append((text, joint(place, row), up if above is None else joint(place, above), joint(path, sub), spot if row else (0 if i in names else pos), own))
+            elif i in names:
+                values[p][names[i]] = v
+            elif p >= 0:
+                out.append((text, place, up, path, pos, {"value": v}))
+    return out

@@ -35,6 +35,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return out.distinct()
 
 
+def p3_tables(spark: SparkSession, d: str) -> DataFrame:
+    """All nested records as linked flat rows."""
+    out = None
+    for name, (tab, key, text, _) in flatten.FIELDS.items():
+        part = flatten.tables(table(spark, d, tab), key, text).select(F.lit(name).alias("json_field"), "record_key", "path", "row_key", "parent_key", "pos", F.to_json("fields").alias("fields"))
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
 def _orphans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     states = orphans.parent_states(table(spark, d, "taxa"), F.col("speciedex_id"), F.col("loaded_at"), F.col("status"))
     refs = orphans.union([orphans.references(table(spark, d, t), t, i) for t, i in (("source_ids", "provider_id"), ("synonyms", "synonym_key"), ("assertions", "provider_id"))])
@@ -94,7 +103,7 @@ SELECT DISTINCT '{name}' AS json_field, record_key, outer_pos, inner_pos, item F
 WHERE trim(item) <> ''"""
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p4_found, p4_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p3_tables, p4_found, p4_report)}
 ORACLE = {
     "p2_found": "WITH RECURSIVE " + _LINKS_SQL + " loops AS (SELECT start, list_min(seen[list_position(seen, cur_node):]) AS cycle_key FROM way WHERE loop) SELECT start AS taxon_key, cycle_key FROM loops",
     "p2_paths": "WITH RECURSIVE " + _PATHS_SQL + " SELECT start AS taxon_key, cur_node AS root_key, CAST(len(seen) - 1 AS BIGINT) AS depth, array_to_string(list_reverse(seen), ' > ') AS path FROM ends",

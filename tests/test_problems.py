@@ -146,3 +146,54 @@ def test_keys(spark):
     row = spark.sql("select ' SPX:sha256:AB ' a, '20240102T030405Z' b, '2024-01-02 03:04:05' c, '2024-01-02T05:04:05+02:00' d, '2024-01-02T03:04:05.000Z' e, 'soon' f")
     r = row.select(record_id(F.col("a")).alias("a"), *[F.date_format(instant(F.col(c)), "yyyy-MM-dd HH:mm:ss").alias(c) for c in "bcdef"]).first()
     assert r.a == "ab" and {r.b, r.c, r.d, r.e} == {"2024-01-02 03:04:05"} and r.f is None
+
+
+def plain_rows(x, place="", up=None, path="", pos=0, named=False, listed=False):
+    """The linked rows of a parsed value, one by one."""
+    if isinstance(x, str) and x.lstrip()[:1] in ("[", "{", '"'):
+        try:
+            y = json.loads(x)
+            if isinstance(y, (dict, list)):
+                x, listed = y, False
+        except ValueError:
+            pass
+    if isinstance(x, dict):
+        own = {}
+        yield place, up, path, 0 if named else pos, own
+        for k, v in x.items():
+            w = v
+            if isinstance(v, str) and v.lstrip()[:1] in ("[", "{"):
+                try:
+                    w = json.loads(v)
+                except ValueError:
+                    pass
+            if isinstance(w, (dict, list)):
+                yield from plain_rows(w, f"{place}.{k}" if place else k, place, f"{path}.{k}" if path else k, pos, True)
+            else:
+                own[k] = v if isinstance(v, str) or v is None else json.dumps(v)
+    elif isinstance(x, list):
+        for n, v in enumerate(x):
+            yield from plain_rows(v, f"{place}[{n}]", up, path + "[]" if listed else path, n, False, isinstance(v, list))
+    elif place:
+        yield place, up, path, pos, {"value": x if isinstance(x, str) or x is None else json.dumps(x)}
+
+
+def test_linked_rows_match_a_plain_walk(spark):
+    rng = random.Random(3)
+
+    def value(d):
+        r = rng.random()
+        if d > 4 or r < 0.4:
+            return rng.choice([None, True, 1, 2.5, "x", "", "a.b", 'q"t'])
+        if r < 0.7:
+            return {rng.choice("abc"): value(d + 1) for _ in range(rng.randrange(3))}
+        return [value(d + 1) for _ in range(rng.randrange(4))]
+
+    docs = [value(0) for _ in range(300)] + [{"a": json.dumps({"b": [1, {"c": 2}]})}, [[1, [2]], [{"x": []}]]]
+    for doc in docs:
+        got = [(r, u, p, n, v) for _, r, u, p, n, v in jsonindex.linked([json.dumps(doc)])]
+        assert sorted(got, key=repr) == sorted(plain_rows(doc), key=repr), doc
+    df = spark.createDataFrame([("k", '{"h": [{"s": [1, null]}, {"s": {"i": 2}}]}', 1), ("k2", None, 1), (None, "[1]", 1), ("k3", "{bad", 1), ("k4", "", 2), ("k5", json.dumps(json.dumps({"z": 1})), 2)], "key string, js string, path int")
+    rows = {(r.record_key, r.path, r.row_key, r.parent_key, r.pos, tuple(sorted(r.fields.items(), key=repr))) for r in flatten.tables(df, "key", "js").collect()}
+    assert rows == {("k", "", "", None, 0, ()), ("k", "h", "h[0]", "", 0, ()), ("k", "h", "h[1]", "", 1, ()), ("k", "h.s", "h[0].s[0]", "h[0]", 0, (("value", "1"),)), ("k", "h.s", "h[0].s[1]", "h[0]", 1, (("value", None),)), ("k", "h.s", "h[1].s", "h[1]", 0, (("i", "2"),)), (None, "", "[0]", None, 0, (("value", "1"),)), ("k5", "", "", None, 0, (("z", "1"),))}
+    assert flatten.tables(df.limit(0), "key", "js").count() == 0
