@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlake.functions import coerce as C
+from arborlake.session import checkpoint
 
 QUANTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
 def summary(x: Column, prefix: str = "", quantiles: tuple[float, ...] = QUANTILES) -> list[Column]:
-    """count, sum, min, max, mean, median, sample variance (0 for one value), stddev and interpolated percentiles."""
+    """count, sum, min, max, mean, median, sample variance (0 for one value), stddev and interpolated percentiles, of groups known to be small.
+
+    The percentiles gather a group's distinct values; `quantiles` does not.
+    """
     var = F.when(F.count(x) > 0, F.coalesce(F.var_samp(x), F.lit(0.0)))
     points = sorted({0.5, *quantiles})
     cut = F.percentile(x, F.array(*map(F.lit, points)))  # the same aggregate for all, so values are gathered once
@@ -23,6 +28,54 @@ def summary(x: Column, prefix: str = "", quantiles: tuple[float, ...] = QUANTILE
     return [c.alias(prefix + k) for k, c in out.items()]
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, points: tuple[float, ...]) -> DataFrame:
+    """by, cuts: the interpolated percentiles of a numeric column in each group, exact and without gathering a group.
+
+    Equal values are counted first. The counts are split by range of (group, value), so that each part can number its
+    own rows once it knows how many values of the group stand in the parts before it; only the rows at the wanted
+    places remain. Nulls do not count; a group without a value has no row.
+    """
+    keys = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(by)]
+    names = [f"_k{i}" for i in range(len(by))]
+    counts = df.select(*keys, F.col(f"`{value}`").cast("double").alias("_v")).where("_v is not null").groupBy(*names, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    parts = checkpoint(counts.repartitionByRange(*names, "_v").withColumn("_p", F.spark_partition_id()))
+    sums = parts.groupBy(*names, "_p").agg(F.sum("_n").alias("_s"))  # one row a part and group
+    over = Window.partitionBy(*(names or [F.lit(1)]))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_s").over(over.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_s").over(over)).drop("_s")
+    both = parts.alias("a").join(sums.alias("b"), reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*names, "_p"]])).select("a.*", "_before", "_all")
+    run = F.sum("_n").over(Window.partitionBy(*names, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumn("_to", F.col("_before") + run).withColumn("_from", F.col("_to") - F.col("_n"))
+    want = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(q)) * (F.col("_all") - 1)).alias("at")) for i, q in enumerate(points)]))
+    rows = placed.select(*names, "_v", "_from", "_to", want.alias("_w"))
+    low, high = F.floor("_w.at"), F.ceil("_w.at")
+    holds = lambda x: (x >= F.col("_from")) & (x < F.col("_to"))
+    ends = rows.where(holds(low) | holds(high)).groupBy(*names, "_w").agg(F.max(F.when(holds(low), F.col("_v"))).alias("lo"), F.max(F.when(holds(high), F.col("_v"))).alias("hi"))
+    cut = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("_w.at") - F.floor("_w.at"))
+    out = ends.select(*names, F.struct(F.col("_w.i").alias("i"), cut.alias("cut")).alias("c")).groupBy(*names).agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["cut"]).alias("cuts"))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, by)], "cuts")
+
+
+def with_quantiles(base: DataFrame, cuts: DataFrame, by: list[str]) -> DataFrame:
+    """base with the cuts of its groups; null groups meet."""
+    if not by:
+        return base.join(cuts, how="left")  # a single row beside a single row
+    return base.alias("a").join(cuts.alias("b"), reduce(lambda x, y: x & y, [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in by]), "left").select("a.*", "b.cuts")
+
+
+def moments(x: Column, prefix: str = "") -> list[Column]:
+    """count, sum, min, max, mean, sample variance (0 for one value) and stddev."""
+    var = F.when(F.count(x) > 0, F.coalesce(F.var_samp(x), F.lit(0.0)))
+    out = {"count": F.count(x), "sum": F.sum(x), "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "variance": var, "stddev": F.sqrt(var)}
+    return [c.alias(prefix + k) for k, c in out.items()]
+
+
+def _named(prefix: str) -> list[Column]:
+    """The summary's columns in their order, with the median and percentiles out of cuts."""
+    at = lambda q: F.get("cuts", F.lit(QUANTILES.index(q)))
+    plain = [F.col(f"`{prefix}{k}`") for k in ("count", "sum", "min", "max", "mean")]
+    return [*plain, at(0.5).alias(prefix + "median"), F.col(f"`{prefix}variance`"), F.col(f"`{prefix}stddev`"), *[at(q).alias(f"{prefix}p{round(q * 100)}") for q in QUANTILES]]
+
+
 def unpivot(df: DataFrame, fields: list[str], numeric: bool = True) -> DataFrame:
     """field, value: one row per record and field; numeric values, or all as text."""
     cells = [F.struct(F.lit(f).alias("field"), (C.numeric(F.col(f), C.field_type(df, f)) if numeric else F.col(f).cast("string")).alias("value")) for f in fields]
@@ -30,15 +83,14 @@ def unpivot(df: DataFrame, fields: list[str], numeric: bool = True) -> DataFrame
 
 
 def profile(df: DataFrame, fields: list[str]) -> DataFrame:
-    """field, records, nulls (blank counts as null), null_rate, distinct and the numeric summary of each field, in one pass."""
+    """field, records, nulls (blank counts as null), null_rate, distinct and the numeric summary of each field."""
     cells = [F.struct(F.lit(f).alias("field"), F.nullif(F.trim(F.col(f).cast("string")), F.lit("")).alias("value"), C.numeric(F.col(f), C.field_type(df, f)).alias("x")) for f in fields]
     rows = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
     nulls = F.count_if(F.col("value").isNull())
-    base = rows.groupBy("field").agg(F.count(F.lit(1)).alias("records"), nulls.alias("nulls"), F.round(nulls / F.count(F.lit(1)), 6).alias("null_rate"), *summary(F.col("x"), "num_"))
-    # Distinct values apart from the percentiles, whose buffers would else go through every phase of a distinct aggregate.
+    base = rows.groupBy("field").agg(F.count(F.lit(1)).alias("records"), nulls.alias("nulls"), F.round(nulls / F.count(F.lit(1)), 6).alias("null_rate"), *moments(F.col("x"), "num_"))
     kinds = rows.where("value is not null").groupBy("field", "value").agg(F.lit(1)).groupBy("field").agg(F.count(F.lit(1)).alias("distinct_values"))
     out = base.join(kinds, "field", "left").withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)))
-    return out.select("field", "records", "nulls", "null_rate", "distinct_values", *[c for c in base.columns if c.startswith("num_")])
+    return with_quantiles(out, quantiles(rows, ["field"], "x", QUANTILES), ["field"]).select("field", "records", "nulls", "null_rate", "distinct_values", *_named("num_"))
 
 
 def type_histogram(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -61,7 +113,13 @@ def grouped(df: DataFrame, by: str, fields: list[str]) -> DataFrame:
     """One row a group (arrays explode, missing is the null group): records and the summary of each field; records desc, group."""
     g = F.explode_outer(F.array_distinct(C.values(df, by))).alias("group")
     rows = df.select(g, *[C.numeric(F.col(f), C.field_type(df, f)).alias(f) for f in fields])
-    return rows.groupBy("group").agg(F.count(F.lit(1)).alias("records"), *[c for f in fields for c in summary(F.col(f), f + "_")]).orderBy(F.desc("records"), "group")
+    out = rows.groupBy("group").agg(F.count(F.lit(1)).alias("records"), *[c for f in fields for c in moments(F.col(f"`{f}`"), f + "_")])
+    done = ["group", "records"]
+    for f in fields:
+        out = with_quantiles(out, quantiles(rows, ["group"], f, QUANTILES), ["group"])
+        out = out.select(*[F.col(f"`{c}`") for c in out.columns if c != "cuts" and not c.startswith(f + "_")], *_named(f + "_"))
+        done += [f + "_" + k for k in ("count", "sum", "min", "max", "mean", "median", "variance", "stddev", *[f"p{round(q * 100)}" for q in QUANTILES])]
+    return out.select(*[F.col(f"`{c}`") for c in done]).orderBy(F.desc("records"), "group")
 
 
 def histogram(df: DataFrame, field: str, bins: int = 10, weight: str | None = None) -> DataFrame:
@@ -93,7 +151,9 @@ def density_summary(df: DataFrame, field: str, weight: str) -> DataFrame:
     """Weighted mean and population variance, unweighted quartiles and their range."""
     x, w = F.col(field).cast("double"), F.col(weight).cast("double")
     m = F.sum(w * x) / F.sum(w)
-    return df.agg(F.count(x).alias("count"), F.sum(w).alias("weight"), m.alias("mean"), (F.sum(w * x * x) / F.sum(w) - m * m).alias("variance"), F.percentile(x, F.lit(0.25)).alias("q1"), F.percentile(x, F.lit(0.5)).alias("median"), F.percentile(x, F.lit(0.75)).alias("q3")).withColumn("iqr", F.col("q3") - F.col("q1"))
+    base = df.agg(F.count(x).alias("count"), F.sum(w).alias("weight"), m.alias("mean"), (F.sum(w * x * x) / F.sum(w) - m * m).alias("variance"))
+    out = with_quantiles(base, quantiles(df, [], field, (0.25, 0.5, 0.75)), [])
+    return out.select("*", *[F.get("cuts", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))]).drop("cuts").withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 KERNELS = {
@@ -105,7 +165,8 @@ KERNELS = {
 def kernel_density(df: DataFrame, field: str, points: int = 128, kernel: str = "gaussian", bandwidth: float | None = None) -> DataFrame:
     """x, density on an even grid from min to max. Equal values are first counted, so each meets the grid once; Silverman's bandwidth unless given."""
     x = df.select(F.col(field).cast("double").alias("v")).where("v is not null")
-    s = x.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("sd"), (F.percentile("v", F.lit(0.75)) - F.percentile("v", F.lit(0.25))).alias("iqr"))
+    s = x.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("sd"))
+    s = with_quantiles(s, quantiles(x, [], "v", (0.25, 0.75)), []).withColumn("iqr", F.get("cuts", F.lit(1)) - F.get("cuts", F.lit(0))).drop("cuts")
     spread = F.when(F.col("iqr") > 0, F.least("sd", F.col("iqr") / 1.34)).otherwise(F.col("sd"))
     h = F.lit(bandwidth) if bandwidth else F.when(spread > 0, 0.9 * spread * F.pow("n", F.lit(-0.2))).otherwise(1.0)
     s = s.withColumn("h", h).where("n > 0")
@@ -126,9 +187,12 @@ def matrix(df: DataFrame, row: str, column: str, value: str, how: str = "sum", f
     if scale == "none":
         return full.withColumn("scaled", F.col("value"))
     v = F.log1p(F.greatest("value", F.lit(0.0))) if scale == "log" else F.col("value")
-    over = Window.partitionBy(*({"row": ["row"], "column": ["column"]}.get(scale, [F.lit(1)])))
-    lo, hi = F.min(v).over(over), F.max(v).over(over)
-    return full.withColumn("scaled", F.when(hi > lo, (v - lo) / (hi - lo)).otherwise(F.when(v.isNotNull(), 0.0)))
+    if scale in ("row", "column"):
+        lo, hi = F.min(v).over(Window.partitionBy(scale)), F.max(v).over(Window.partitionBy(scale))
+    else:
+        full = full.crossJoin(F.broadcast(full.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))))
+        lo, hi = F.col("_lo"), F.col("_hi")
+    return full.select("row", "column", "value", lo.alias("_lo"), hi.alias("_hi")).withColumn("scaled", F.when(F.col("_hi") > F.col("_lo"), (v - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.when(v.isNotNull(), 0.0))).drop("_lo", "_hi")
 
 
 def margins(cells: DataFrame, by: str) -> DataFrame:

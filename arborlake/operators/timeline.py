@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlake.functions import coerce as C
+from arborlake.operators.stats import quantiles, with_quantiles
 
 STEPS = {"year": "INTERVAL 1 YEAR", "quarter": "INTERVAL 3 MONTH", "month": "INTERVAL 1 MONTH", "week": "INTERVAL 7 DAY", "day": "INTERVAL 1 DAY", "hour": "INTERVAL 1 HOUR", "minute": "INTERVAL 1 MINUTE"}
 
@@ -102,9 +103,18 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def trailing_counts(df: DataFrame, ts: str, seconds: int, by: str) -> DataFrame:
-    """Each event with the number of events of its partition in the trailing seconds, itself included."""
-    w = Window.partitionBy(by).orderBy(F.col(ts).cast("timestamp").cast("double")).rangeBetween(-seconds, 0)
-    return df.withColumn("trailing", F.count(F.lit(1)).over(w))
+    """Each event with the number of events of its partition in the trailing seconds, itself included.
+
+    Time is cut into chunks of many such spans, so that tasks share a busy partition; the last span of a chunk is also
+    laid before the next one. Events without a time count among themselves.
+    """
+    size = max(float(seconds), 1e-6) * 32
+    t = F.col(ts).cast("timestamp").cast("double")
+    chunk = F.floor(t / size)
+    edge = t >= (chunk + 1) * size - float(seconds)
+    rows = df.withColumn("_t", t).withColumn("_c", F.explode(F.when(edge, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))))
+    w = Window.partitionBy(by, "_c").orderBy("_t").rangeBetween(-seconds, 0)
+    return rows.withColumn("trailing", F.count(F.lit(1)).over(w)).where(F.col("_c").eqNullSafe(F.floor(F.col("_t") / size))).drop("_t", "_c")
 
 
 def stack(df: DataFrame, time: str, series: str, value: str, baseline: str = "zero") -> DataFrame:
@@ -135,5 +145,7 @@ def rolling_health(df: DataFrame, by: str, ts: str, ok: Column, latency: Column,
     """by, samples, uptime, error_rate, mean, p50 and p95 latency and state over the samples since a time."""
     rows = df.where(F.col(ts) >= F.lit(since).cast("timestamp"))
     up = F.avg(ok.cast("double"))
-    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("samples"), F.round(up, 6).alias("uptime"), F.round(1 - up, 6).alias("error_rate"), F.round(F.avg(latency), 6).alias("latency_mean"), F.percentile(latency, F.lit(0.5)).alias("latency_p50"), F.percentile(latency, F.lit(0.95)).alias("latency_p95"),
+    out = rows.groupBy(by).agg(F.count(F.lit(1)).alias("samples"), F.round(up, 6).alias("uptime"), F.round(1 - up, 6).alias("error_rate"), F.round(F.avg(latency), 6).alias("latency_mean"),
         F.when(up >= 0.75, "healthy").when(up >= 0.4, "degraded").otherwise("unhealthy").alias("state"))
+    cuts = quantiles(rows.select(by, latency.alias("_latency")), [by], "_latency", (0.5, 0.95))
+    return with_quantiles(out, cuts, [by]).select(by, "samples", "uptime", "error_rate", "latency_mean", F.get("cuts", F.lit(0)).alias("latency_p50"), F.get("cuts", F.lit(1)).alias("latency_p95"), "state")

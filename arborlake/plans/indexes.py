@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborlake.operators.stats import quantiles
 from arborlake.plans.filterlang import page_bounds
 from arborlake.plans.searchlang import postings
 
@@ -94,7 +95,7 @@ def heat_scale(df: DataFrame, value: str, mode: str = "linear", buckets: int = 5
     """`scaled` by linear or logarithmic share of the range, or the number of quantile bounds below the value."""
     v = F.col(value).cast("double")
     if mode == "quantile":
-        cuts = df.agg(F.percentile(v, F.array(*[F.lit(i / buckets) for i in range(1, buckets)])).alias("cuts"))
+        cuts = quantiles(df.select(v.alias("_v")), [], "_v", tuple(i / buckets for i in range(1, buckets)))
         return df.crossJoin(F.broadcast(cuts)).withColumn("scaled", F.size(F.filter("cuts", lambda c: c < v)).cast("double")).drop("cuts")
     x = F.log1p(F.greatest(v, F.lit(0.0))) if mode == "log" else v
     span = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))

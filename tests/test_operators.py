@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import re
 import zipfile
 
@@ -284,3 +285,25 @@ def test_repeated_keys_choose_the_newest_row(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), (None, 1, "n")], "k string, loaded_at int, v string")
     for n in (1, 3):
         assert {(r.k, r.v) for r in archive.newest(df.repartition(n), ["k"]).collect()} == {("a", "z"), (None, "n")}
+
+
+def test_quantiles_match_the_gathering_aggregate(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None, "one"]), rng.choice([None, 1.0, 2.0, rng.random()])) for _ in range(400)] + [("single", 7.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    points = (0.0, 0.1, 0.5, 0.95, 1.0)
+    want = {r.k: r.c for r in df.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, points))).alias("c")).collect() if r.c}
+    got = {r.k: r.cuts for r in stats.quantiles(df.repartition(5), ["k"], "v", points).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+    assert one(stats.quantiles(df, [], "v", (0.5,))).cuts == pytest.approx([one(df.agg(F.percentile("v", F.lit(0.5)).alias("m"))).m])
+    assert stats.quantiles(df.limit(0), ["k"], "v", points).count() == 0
+
+
+def test_trailing_counts_across_chunks(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice("ab"), rng.randrange(4000) / 2) for i in range(500)] + [(900, "a", None), (901, "a", None)]
+    df = spark.createDataFrame(rows, "i int, k string, s double").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.i: r.trailing for r in timeline.trailing_counts(df, "ts", 7, "k").collect()}
+    for i, k, s in rows:
+        assert got[i] == sum(1 for _, kk, x in rows if kk == k and (x is None if s is None else x is not None and s - 7 <= x <= s))
+    assert len(got) == len(rows)
