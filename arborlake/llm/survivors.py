@@ -160,9 +160,12 @@ def resolved(rows: DataFrame, best: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def survive(assertions: DataFrame, providers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(surviving rows as of `best_rows`, values judged true as of `true_values`, all rows): the text is parsed once."""
+    """(surviving rows as of `best_rows`, values judged true as of `true_values`, all rows): the text is parsed once.
+
+    The claims are derived again from the parsed rows where values are asked for, as they are as large as these.
+    """
     rows = checkpoint(ranked_rows(assertions, providers))
-    claims = checkpoint(patterns(rows))
+    claims = patterns(rows)
     quality, prior = fit(claims)
     return best_rows(rows, quality), true_values(rows, claims, quality, prior), rows
 
