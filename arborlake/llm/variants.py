@@ -99,8 +99,9 @@ def mentions(texts: DataFrame, text: str, givens: frozenset[str]) -> DataFrame:
             yield pd.DataFrame(rows, columns=["text", "surname", "given", "middle", "short"]).astype({"text": str, "surname": str, "given": str, "middle": str, "short": bool})
 
     plain = texts.select(text).where(F.col(text).isNotNull()).distinct()
-    # Parsing is dear and its input small, so it gets a partition a core however few bytes it has.
-    return plain.repartition(parallelism(texts.sparkSession), text).mapInPandas(run, "text string, surname string, given string, middle string, short boolean")
+    # Parsing is dear and its input small, so it gets a partition a core however few bytes it has; the key differs from
+    # that of distinct, whose exchange would else take its place and be merged by size.
+    return plain.repartition(parallelism(texts.sparkSession), F.xxhash64(text)).mapInPandas(run, "text string, surname string, given string, middle string, short boolean")
 
 
 def grams(form: Column, n: int = 2) -> Column:
