@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arborlake.functions import coerce as C
 from arborlake.functions import taxonomy as X
-from arborlake.operators import archive, geo, graph, resolve, sets, summaries, timeline
+from arborlake.operators import archive, geo, graph, hierarchy, keyed, resolve, sets, summaries, timeline
 from arborlake.plans import filterlang, indexes, lists, searchlang
 from arborlake.sources import files, sinks
 from arborlake.session import shared_folder, table
@@ -478,3 +478,102 @@ def ord_merge(t: _T) -> DataFrame:
     old, new = rows.where("c_custkey % 2 = 0"), rows.where("c_custkey % 2 = 1")
     last = sets.merge_by_key(old, new, "key", "c_custkey").unionByName(old)
     return last.groupBy("key").agg(F.max_by("name", "c_custkey").alias("name"))
+
+
+# --- keyed reads, rebuilds, the updatable index and whole records -----------------------------------------------------
+@query("SELECT provider, provider_id, assertion_hash FROM assertions WHERE speciedex_id = (SELECT max(speciedex_id) FROM taxa) QUALIFY row_number() OVER (PARTITION BY provider, provider_id ORDER BY loaded_at DESC, assertion_hash DESC) = 1")
+def src_keyed(t: _T) -> DataFrame:
+    top = t("taxa").agg(F.max("speciedex_id")).first()[0]
+    return keyed.of_taxon(t("assertions"), top).select("provider", "provider_id", "assertion_hash")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def src_read(t: _T) -> DataFrame:
+    return keyed.read(t("orders"), o_orderstatus="P").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer")
+def snk_rebuild(t: _T) -> DataFrame:
+    """A table from its records, of which older versions, damaged ones and ones without a key lie beside."""
+    new = t("customer").select(F.to_json(F.struct("c_custkey", F.struct("c_name").alias("n"), F.lit("2025").alias("at"))).alias("j"))
+    old = t("customer").select(F.to_json(F.struct("c_custkey", F.struct(F.lit("old").alias("c_name")).alias("n"), F.lit("2024").alias("at"))).alias("j"))
+    rows = new.unionByName(old).unionByName(t("nation").select(F.to_json(F.struct("n_name")).alias("j"))).unionByName(t("region").select(F.concat(F.lit("{"), "r_name").alias("j")))
+    return keyed.rebuild(rows, "j", {"id": "c_custkey", "name": "n.c_name", "updated_at": "at"}).select("id", "name")
+
+
+_TOKENS = "SELECT p_partkey, unnest(list_filter(regexp_split_to_array(lower(n), '[^a-z0-9._:-]+'), lambda x: x <> '')) AS token FROM ({})"
+
+
+@query("WITH d AS (SELECT p_partkey, CASE WHEN p_size > 40 THEN p_brand ELSE p_name END AS n FROM part WHERE p_size > 5), w AS (" + _TOKENS.format("d") + ") SELECT p_partkey, token, count(*) AS n FROM w GROUP BY 1, 2")
+def srh_crud(t: _T) -> DataFrame:
+    """An index of names after some documents changed and some were removed."""
+    from arborlake.plans.searchlang import postings
+
+    docs = t("part").select("p_partkey", F.col("p_name").alias("n"), "p_size", "p_brand")
+    index = postings(docs, "p_partkey", ["n"])
+    index = keyed.index_add(index, docs.where("p_size > 40").select("p_partkey", F.col("p_brand").alias("n")), "p_partkey", ["n"])
+    return keyed.index_remove(index, docs.where("p_size <= 5"), "p_partkey").select("p_partkey", "token", "n")
+
+
+@query("SELECT p_partkey FROM part WHERE lower(p_name) = 'small ring' AND p_size > 10")
+def srh_pruned(t: _T) -> DataFrame:
+    from arborlake.plans.searchlang import postings
+
+    df = t("part")
+    return keyed.pruned(df, postings(df, "p_partkey", ["p_name"]), "p_partkey", ["small", "ring"], (F.lower("p_name") == "small ring") & (F.col("p_size") > 10)).select("p_partkey")
+
+
+_SPACE = r"trim(regexp_replace(coalesce({}, ''), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT DISTINCT provider_id, {_SPACE.format('scientific_name')} AS scientific_name, {_SPACE.format('family')} AS family, lower({_SPACE.format('rank')}) AS rank, {_SPACE.format('authorship')} AS authorship FROM provider_taxa WHERE lower(trim(rank)) IN ('species', 'genus', 'subspecies')")
+def scl_records_basic(t: _T) -> DataFrame:
+    rows = keyed.normalize(t("provider_taxa"), basic=True)
+    return rows.where(F.col("rank").isin("species", "genus", "subspecies")).select("provider_id", "scientific_name", "family", "rank", "authorship").distinct()
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Aus bus' WHEN 1 THEN 'Aus × bus' WHEN 2 THEN 'Aus' ELSE 'Aus bus cus' END AS canonical_name, CASE p_partkey % 4 WHEN 0 THEN 'species' WHEN 1 THEN 'species' WHEN 2 THEN 'genus' ELSE 'subspecies' END AS rank, CASE p_partkey % 4 WHEN 0 THEN 'Smith, 1900' WHEN 1 THEN 'A & B' WHEN 2 THEN '' ELSE 'C' END AS authorship, 'valid' AS status FROM part")
+def scl_records(t: _T) -> DataFrame:
+    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    df = t("part").select("p_partkey", pick("Aus  bus Smith, 1900", "Aus x bus", "Aus", "Aus bus cus C").alias("scientific_name"), pick("", "Aus ×bus", None, "Aus bus cus").alias("canonical_name"), pick("sp.", "Species", "", "ssp").alias("rank"), pick("Smith ,1900", "A&B", None, " C ").alias("authorship"), F.lit(" Valid  name").alias("status"))
+    return keyed.normalize(df).select("p_partkey", "canonical_name", "rank", "authorship", "status")
+
+
+@query("SELECT 'n' || n_nationkey AS node, row_number() OVER (ORDER BY 'r' || n_regionkey, 'n' || n_nationkey) AS place FROM nation WHERE n_nationkey % 2 = 0")
+def geo_walk(t: _T) -> DataFrame:
+    """Leaves of a pre-order walk down to the nodes that match."""
+    from pyspark.sql import Window
+
+    links = t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.concat(F.lit("r"), "n_regionkey").alias("up")).unionByName(t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit(None).cast("string").alias("up")))
+    r = hierarchy.resolve(links, with_paths=True)
+    rows = keyed.walk(r, "path", F.col("node").startswith("n") & (F.substring("node", 2, 9).cast("int") % 2 == 0)).where(F.col("node").startswith("n"))
+    return rows.select("node", F.row_number().over(Window.orderBy("path")).cast("bigint").alias("place"))
+
+
+@query("WITH a AS (SELECT DISTINCT lower(p_type) AS k FROM part WHERE p_size < 5), b AS (SELECT DISTINCT lower(p_type) AS k FROM part WHERE p_size > 10) SELECT (SELECT count(*) FROM a) AS \"left\", (SELECT count(*) FROM b) AS \"right\", count(*) AS both, (SELECT count(*) FROM a) - count(*) AS only_left, (SELECT count(*) FROM b) - count(*) AS only_right, round(count(*) / ((SELECT count(*) FROM a) + (SELECT count(*) FROM b) - count(*)), 6) AS jaccard FROM a JOIN b USING (k)")
+def ext_accessors(t: _T) -> DataFrame:
+    p = t("part")
+    return keyed.overlap_by(p.where("p_size < 5"), p.where("p_size > 10"), F.lower("p_type"), F.lower("p_type"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m') AS month, count(*) AS n FROM events GROUP BY 1, 2")
+def win_keys(t: _T) -> DataFrame:
+    """Day and month keys, in UTC."""
+    return t("events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type, CASE event_type WHEN 'error' THEN 8.0 ELSE 0.0 END::DOUBLE AS wait FROM events GROUP BY 1")
+def win_backoff(t: _T) -> DataFrame:
+    return t("events").select("event_type").distinct().select("event_type", timeline.backoff(F.when(F.col("event_type") == "error", 4).otherwise(0), 1, 60).cast("double").alias("wait"))
+
+
+@query("SELECT c_custkey, c_acctbal AS score FROM customer WHERE c_mktsegment = (SELECT min(c_mktsegment) FROM customer) ORDER BY c_acctbal DESC, c_custkey LIMIT 20")
+def win_schedule(t: _T) -> DataFrame:
+    low = t("customer").agg(F.min("c_mktsegment")).first()[0]
+    return timeline.schedule(t("customer"), F.col("c_acctbal"), F.col("c_mktsegment") == low, 20, ["c_custkey"]).select("c_custkey", "score")
+
+
+@query("SELECT event_id, make_timestamp(event_id * 1000000) AS at FROM events")
+def win_event_time(t: _T) -> DataFrame:
+    x = F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("double")).otherwise(F.col("event_id").cast("double"))
+    return t("events").select("event_id", timeline.event_time(x).cast("timestamp_ntz").alias("at"))
