@@ -15,6 +15,8 @@ from arborlake.session import checkpoint
 FIELD_POINTS = {"scientific_name": 8, "canonical_name": 35, "authorship": 20, "rank": 10, "kingdom": 15}
 LINEAGE_POINTS, LINEAGE_MOST, ACCEPTED_ID_POINTS = 4, 20, 4
 MATCH, CONFLICT, LEAST = 75, 50, 35
+# Names that stand for none.
+PLACEHOLDERS = ["unknown", "unnamed", "unidentified", "not available", "n/a", "na", "none", "null", "taxon", "species"]
 # Weights and thresholds of duplicate scores.
 DUPLICATE_WEIGHTS = {"canonical_name": 0.30, "scientific_name": 0.08, "authorship": 0.14, "rank": 0.10, "kingdom": 0.08, "lineage": 0.18, "status": 0.04, "provider_support": 0.05, "synonym_support": 0.03}
 EXACT, PROBABLE, REVIEW = 0.98, 0.84, 0.68
@@ -38,7 +40,7 @@ def taxon_rules() -> list[tuple[str, str, str, Column]]:
     """Checks of a normalised record."""
     out = [(f"{f}_missing", "error", f, blank(f)) for f in ("provider", "provider_id", "scientific_name", "canonical_name")]
     out += [(f"{f}_too_long", "error", f, F.length(f) > n) for f, n in (("scientific_name", 1024), ("canonical_name", 1024), ("authorship", 1024))]
-    out += [(f"{f}_placeholder", "error", f, F.lower(F.trim(F.col(f))).isin("unknown", "unnamed", "n/a", "none", "null", "undefined")) for f in ("scientific_name", "canonical_name")]
+    out += [(f"{f}_placeholder", "error", f, F.lower(F.trim(F.col(f))).isin(PLACEHOLDERS)) for f in ("scientific_name", "canonical_name")]
     out += [(f"{f}_null_byte", "error", f, F.col(f).contains("\0")) for f in ("scientific_name", "canonical_name")]
     out += [
         ("rank_unknown", "warning", "rank", X.rank(F.col("rank"), "?") == "?"),

@@ -577,3 +577,41 @@ def win_schedule(t: _T) -> DataFrame:
 def win_event_time(t: _T) -> DataFrame:
     x = F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("double")).otherwise(F.col("event_id").cast("double"))
     return t("events").select("event_id", timeline.event_time(x).cast("timestamp_ntz").alias("at"))
+
+
+_IDENT = r"lower(trim(regexp_replace(coalesce({0}.canonical_name, ''), '\s+', ' ', 'g'))) || '|' || lower(trim(regexp_replace(coalesce({0}.rank, ''), '\s+', ' ', 'g'))) || '|' || lower(trim(regexp_replace(coalesce({0}.kingdom, ''), '\s+', ' ', 'g'))) || '|' || lower(trim(regexp_replace(coalesce({0}.authorship, ''), '\s+', ' ', 'g')))"
+_ALL = " + ".join(f"CASE WHEN {_same(f)} THEN {p} ELSE 0 END" for f, p in resolve.FIELD_POINTS.items())
+ORACLE["res_reconcile"] = f"""WITH a AS ({_NEW}), b AS ({_HAVE}), s AS (SELECT provider, provider_id, min(speciedex_id) AS s_id FROM source_ids GROUP BY 1, 2),
+i AS (SELECT {_IDENT.format('b')} AS ident, count(*) AS i_n, min(speciedex_id) AS i_id FROM b GROUP BY 1),
+p AS (SELECT a.provider, a.provider_id, b.speciedex_id AS c_id, {_ALL} + least({resolve.LINEAGE_MOST}, {_LINE}) + CASE WHEN trim(coalesce(a.accepted_provider_id, '')) <> '' THEN {resolve.ACCEPTED_ID_POINTS} ELSE 0 END AS raw FROM a JOIN b ON {_K.format('a', 'a', 'a')} = {_K.format('b', 'b', 'b')}),
+q AS (SELECT *, CASE WHEN raw < {resolve.LEAST} THEN least(raw * 0.85, {resolve.CONFLICT} - 0.01) ELSE raw * 0.85 END::DOUBLE AS score FROM p),
+g AS (SELECT provider, provider_id, score, count(*) AS ties, min(c_id) AS c_id FROM q GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY provider, provider_id ORDER BY score DESC) = 1),
+j AS (SELECT a.provider, a.provider_id, s_id, i_n, i_id, score, ties, c_id FROM a LEFT JOIN s ON s.provider = a.provider AND s.provider_id = a.provider_id LEFT JOIN i ON i.ident = {_IDENT.format('a')} LEFT JOIN g ON g.provider = a.provider AND g.provider_id = a.provider_id)
+SELECT provider, provider_id, CASE WHEN s_id IS NOT NULL THEN 'match' WHEN i_n = 1 THEN 'match' WHEN i_n > 1 THEN 'conflict' WHEN score >= {resolve.MATCH} AND ties = 1 THEN 'match' WHEN score >= {resolve.CONFLICT} THEN 'conflict' ELSE 'create' END AS action,
+CASE WHEN s_id IS NOT NULL THEN s_id WHEN i_n = 1 THEN i_id WHEN score >= {resolve.MATCH} AND ties = 1 AND i_n IS NULL THEN c_id END AS speciedex_id, round(score, 6) AS score,
+CASE WHEN s_id IS NOT NULL THEN 'source_id' WHEN i_n = 1 THEN 'identity' WHEN i_n > 1 THEN 'ambiguous_identity' WHEN score >= {resolve.CONFLICT} THEN 'scored' ELSE 'new' END AS reason FROM j"""
+
+
+def _in(words: list[str]) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+
+
+_KEY = r"lower(trim(regexp_replace(coalesce({}, ''), '\s+', ' ', 'g')))"
+_BLANK = "trim(coalesce({}, '')) = ''"
+_RANKED = [*X.RANKS, *X.RANK_ALIASES]
+_CANON = f"CASE WHEN {_KEY.format('rank')} IN {_in(X.RANKS)} THEN {_KEY.format('rank')} " + " ".join(f"WHEN {_KEY.format('rank')} = '{a}' THEN '{r}'" for a, r in X.RANK_ALIASES.items()) + " ELSE 'unranked' END"
+_STATUS = f"CASE " + " ".join(f"WHEN {_KEY.format('status')} = '{a}' THEN '{r}'" for a, r in X.STATUS_ALIASES.items()) + f" ELSE {_KEY.format('status')} END"
+_RULES = [(f"{f}_missing", "error", f, _BLANK.format(f)) for f in ("provider", "provider_id", "scientific_name", "canonical_name")]
+_RULES += [(f"{f}_placeholder", "error", f, f"lower(trim({f})) IN {_in(resolve.PLACEHOLDERS)}") for f in ("scientific_name", "canonical_name")]
+_RULES += [
+    ("rank_unknown", "warning", "rank", f"{_KEY.format('rank')} NOT IN {_in(_RANKED)}"),
+    ("status_unknown", "warning", "status", f"{_STATUS} NOT IN {_in(archive.ACCEPTED + archive.SYNONYM + archive.UNCERTAIN)}"),
+    ("accepted_id_self_reference", "error", "accepted_provider_id", f"NOT {_BLANK.format('accepted_provider_id')} AND accepted_provider_id = provider_id"),
+    ("synonym_target_missing", "warning", "accepted_provider_id", f"{_STATUS} IN {_in(archive.SYNONYM)} AND {_BLANK.format('accepted_provider_id')}"),
+    ("accepted_taxon_has_target", "warning", "accepted_provider_id", f"{_STATUS} IN {_in(archive.ACCEPTED)} AND NOT {_BLANK.format('accepted_provider_id')} AND accepted_provider_id <> provider_id"),
+    ("canonical_name_mismatch", "warning", "canonical_name", f"NOT {_BLANK.format('canonical_name')} AND NOT starts_with({_KEY.format('scientific_name')}, {_KEY.format('canonical_name')})"),
+    ("lineage_empty", "warning", "kingdom", " AND ".join(_BLANK.format(c) for c in ("kingdom", "phylum", "class_name", "order_name", "family", "genus"))),
+    ("genus_missing", "warning", "genus", f"list_position({X.RANKS!r}, {_CANON}) > {X.RANKS.index('genus') + 1} AND {_BLANK.format('genus')}"),
+    ("source_url_non_http", "warning", "source_url", f"NOT {_BLANK.format('source_url')} AND NOT regexp_matches(lower(source_url), '^https?://')"),
+]
+ORACLE["res_taxa"] = "SELECT provider, provider_id, i.code AS code, i.severity AS severity, i.field AS field FROM (SELECT provider, provider_id, unnest(list_filter([" + ", ".join(f"CASE WHEN {c} THEN {{'code': '{n}', 'severity': '{s}', 'field': '{f}'}} END" for n, s, f, c in _RULES) + "], lambda x: x IS NOT NULL)) AS i FROM provider_taxa)"
