@@ -13,6 +13,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
@@ -167,7 +168,10 @@ def disguised(text: str | None, looks: dict[str, str] = LOOKS) -> bool:
 
 def canonical_column(c: Column, looks: dict[str, str] = LOOKS) -> Column:
     """Consistent form of a text column. Plain ASCII never leaves the JVM: only suspect values go through Python."""
-    form = F.pandas_udf(lambda s: s.map(lambda t: canonical(t, looks=looks), na_action="ignore").astype(object), StringType(), F.PandasUDFType.SCALAR)
+    def settled(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: canonical(t, looks=looks), na_action="ignore").astype(object)
+
+    form = F.pandas_udf(settled, StringType())
     suspect = c.rlike(SUSPECT)
     plain = F.trim(F.regexp_replace(c, " +", " "))
     return F.when(suspect, form(F.when(suspect, c))).otherwise(plain)
@@ -179,6 +183,10 @@ def disguises(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     Null, empty and plain values give no row; repeated rows are repeated; an empty table gives no rows.
     """
     looks = all_looks(df.sparkSession)
-    told = F.pandas_udf(lambda s: s.map(lambda t: disguised(t, looks), na_action="ignore").astype(object), BooleanType(), F.PandasUDFType.SCALAR)
+
+    def hides(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: disguised(t, looks), na_action="ignore").astype(object)
+
+    told = F.pandas_udf(hides, BooleanType())
     cells = df.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])).alias("cell")).select(key, "cell.*")
     return cells.where(F.col("value").rlike(SUSPECT)).where(told("value"))

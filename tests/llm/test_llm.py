@@ -295,6 +295,15 @@ def test_every_agreeing_pair_is_retrieved(spark):
     assert {n for n in near if n[1] == n[2]} <= words
 
 
+def test_given_names_that_go_under_another_initial(spark):
+    rows = [(str(i), f"Velmarothus {e}", None, "species", a, "", "") for i, (e, a) in enumerate([("albida", "Dick Morland"), ("albida", "R. Morland"), ("rubella", "Dick Ostrag"), ("rubella", "Richard Ostrag"), ("tenuis", "Richard Lind"), ("tenuis", "R. Lind"), ("lucida", "Marta Lind"), ("lucida", None)])]
+    recs = entities.signatures(spark.createDataFrame(rows, "speciedex_id string, " + COLUMNS), ["speciedex_id"])[1]
+    alike = entities.given_forms(recs)
+    assert ("dick", "r") in alike and ("marta", "l") not in alike and not any(a == "marta" for a, _ in alike)
+    assert entities._same_person(("morland", "dick", "", False), ("morland", "r", "", False), alike) and not entities._same_person(("morland", "dick", "", False), ("morland", "m", "", False), alike)
+    assert entities.given_forms(recs.limit(0)) == frozenset()
+
+
 def test_calibration_orders_and_falls_back():
     assert entities.calibrate([]) == entities.PRIOR
     rng = random.Random(1)
