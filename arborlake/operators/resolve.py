@@ -215,6 +215,8 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle within {rounds} rounds")
     root = e.groupBy("b").agg(F.min("a").alias("cluster"))
     return nodes.join(root, nodes.node == root.b, "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
 

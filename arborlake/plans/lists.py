@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from arborlake.functions import coerce as C
 from arborlake.functions import taxonomy as X
 from arborlake.plans.filterlang import page_bounds
+from arborlake.session import checkpoint
 
 
 @dataclass(frozen=True)
@@ -80,17 +83,24 @@ def flatten_columns(df: DataFrame) -> DataFrame:
 
 
 def flatten_paths(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, path, value of the scalar leaves of a JSON text of up to three levels, arrays as [i]: by variant explosion."""
-    rows = df.select(F.col(key), F.try_parse_json(text).alias("v"))
-    rows.createOrReplaceTempView("_flatten_0")
-    spark, parts = df.sparkSession, []
-    now = spark.sql(f"SELECT `{key}`, coalesce(x.key, concat('[', x.pos, ']')) AS path, x.value AS v FROM _flatten_0, LATERAL variant_explode(v) x")
-    for level in range(1, 4):
+    """key, path, value of the scalar leaves of a JSON text of any depth, arrays as [i]: by variant explosion.
+
+    Each round takes one level apart and writes what is still nested, until nothing is. Empty objects and arrays have
+    no leaves; text that is null or no JSON has none.
+    """
+    spark, parts, tag = df.sparkSession, [], uuid.uuid4().hex
+    now, path = df.select(F.col(key), F.lit("").alias("path"), F.try_parse_json(text).alias("v")), "coalesce(x.key, concat('[', x.pos, ']'))"
+    for level in itertools.count():
+        now.createOrReplaceTempView(f"_flatten_{tag}_{level}")
+        now = checkpoint(spark.sql(f"SELECT `{key}`, path || {path} AS path, x.value AS v FROM _flatten_{tag}_{level}, LATERAL variant_explode(v) x"))
+        spark.catalog.dropTempView(f"_flatten_{tag}_{level}")
+        path = "CASE WHEN x.key IS NULL THEN concat('[', x.pos, ']') ELSE concat('.', x.key) END"
         kind = F.expr("schema_of_variant(v)")
         nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
         parts.append(now.where(~nested).select(key, "path", F.col("v").cast("string").alias("value")))
-        now.where(nested).createOrReplaceTempView(f"_flatten_{level}")
-        now = spark.sql(f"SELECT `{key}`, path || CASE WHEN x.key IS NULL THEN concat('[', x.pos, ']') ELSE concat('.', x.key) END AS path, x.value AS v FROM _flatten_{level}, LATERAL variant_explode(v) x")
+        now = now.where(nested)
+        if now.isEmpty():
+            break
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -57,3 +57,10 @@ def test_state_and_manifest(spark):
 def test_named_filters(spark):
     df = spark.createDataFrame([(0.4,), (60.0,), (None,)], "c double")
     assert [r[0] for r in df.select(lists.low_confidence(F.col("c"))).collect()] == [True, False, True]
+
+
+def test_leaves_of_any_depth(spark):
+    deep = '{"a":[{"b":{"c":{"d":[[1,{"e":"x"}]]}}}],"n":{}}'
+    rows = lists.flatten_paths(spark.createDataFrame([(1, deep), (2, None), (3, "bad"), (4, "")], "id int, j string"), "id", "j").collect()
+    assert {(r.id, r.path, r.value) for r in rows} == {(1, "a[0].b.c.d[0][0]", "1"), (1, "a[0].b.c.d[0][1].e", "x")}
+    assert lists.flatten_paths(spark.createDataFrame([], "id int, j string"), "id", "j").count() == 0
