@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from arborlake.llm import variants
@@ -196,7 +196,16 @@ def signatures(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     parsed = checkpoint(plain.mapInPandas(run, f"{kinds}, sig binary, {_REC}, {_PARTS}"))
     rest = [c for c in parsed.columns if c not in keys and c != "sig"]
     recs = checkpoint(parsed.groupBy("sig").agg(F.first(F.struct(*rest)).alias("x")).select(F.monotonically_increasing_id().alias("id"), "sig", "x.*"))
-    return parsed.select(*keys, "sig").join(recs.select("sig", "id"), "sig").drop("sig"), recs.drop("sig")
+    return _meet(parsed.select(*keys, "sig"), recs.select("sig", "id"), "sig").drop("sig"), recs.drop("sig")
+
+
+def _meet(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """Join by sorting and merging.
+
+    No side here is small by nature, and the size that Spark guesses is that of the columns in their files, before records are parsed and
+    words are cut and exploded; a join that broadcast a side on that guess would bring many times as much to the driver.
+    """
+    return left.hint("merge").join(right, on, how)
 
 
 def words_of(recs: DataFrame) -> DataFrame:
@@ -229,8 +238,8 @@ def spellings(queries: DataFrame, docs: DataFrame, share: float = 0.05) -> DataF
     mine = mine.withColumn("own", form("word"))
     a = mine.select("kind", "word", "own", F.explode(F.array_union(_cuts(F.col("word")), _cuts(F.col("own")))).alias("cut"))
     b = theirs.select("kind", F.col("word").alias("other"), "form", F.explode(F.array_union(_cuts(F.col("word")), _cuts(F.col("form")))).alias("cut"))
-    met = a.join(b, ["kind", "cut"]).where((F.col("own") == F.col("form")) | variants.typo(F.col("word"), F.col("other")) | variants.typo(F.col("own"), F.col("form"))).select("kind", "word", "own", "form").distinct()
-    met = met.join(beside.withColumnsRenamed({"form": "own", "n": "n_own"}), ["kind", "own"], "left").join(beside, ["kind", "form"], "left")
+    met = _meet(a, b, ["kind", "cut"]).where((F.col("own") == F.col("form")) | variants.typo(F.col("word"), F.col("other")) | variants.typo(F.col("own"), F.col("form"))).select("kind", "word", "own", "form").distinct()
+    met = _meet(_meet(met, beside.withColumnsRenamed({"form": "own", "n": "n_own"}), ["kind", "own"], "left"), beside, ["kind", "form"], "left")
     met = met.where((F.col("own") == F.col("form")) | F.col("n_own").isNull() | (F.col("n_own") < 2) | (F.col("n_own") < share * F.coalesce("n", F.lit(0))))
     return met.select("kind", "word", "form").unionByName(mine.select("kind", "word", F.col("own").alias("form"))).distinct()
 
@@ -247,7 +256,7 @@ def given_forms(recs: DataFrame, share: float = 0.5, bound: int = 100_000) -> fr
     two = said.groupBy("rank", "words", "surname").agg(F.array_sort(F.collect_set("given")).alias("g")).where("size(g) = 2").select(F.explode(F.array(F.struct(F.col("g")[0].alias("a"), F.col("g")[1].alias("b")), F.struct(F.col("g")[1].alias("a"), F.col("g")[0].alias("b")))).alias("x"))
     pairs = two.select("x.a", F.substring("x.b", 1, 1).alias("b")).where("length(a) > 1").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     total = pairs.groupBy("a").agg(F.sum("n").alias("all"))
-    rows = pairs.join(total, "a").where((F.col("n") > share * F.col("all")) & (F.col("b") != F.substring("a", 1, 1))).select("a", "b").limit(bound + 1).collect()
+    rows = _meet(pairs, total, "a").where((F.col("n") > share * F.col("all")) & (F.col("b") != F.substring("a", 1, 1))).select("a", "b").limit(bound + 1).collect()
     if len(rows) > bound:
         raise ValueError(f"more than {bound} given names")
     return frozenset((r.a, r.b) for r in rows)
@@ -272,7 +281,7 @@ def asked(queries: DataFrame, stand: DataFrame) -> DataFrame:
     """q, t, rate, own, kind: the tokens that each record asks for; those of a spelling it stands for count half a slip."""
     genus = stand.where("kind = 'G'").select(F.col("word").alias("g"), F.col("form").alias("g2"))
     ends = stand.where("kind = 'E'").select(F.col("word").alias("last"), F.col("form").alias("s2"))
-    wide = queries.select("id", "r", "g", "initial", "last", "s", "cut", "by").join(genus, "g", "left").join(ends, "last", "left")
+    wide = _meet(_meet(queries.select("id", "r", "g", "initial", "last", "s", "cut", "by"), genus, "g", "left"), ends, "last", "left")
     wide = wide.withColumn("g2", F.coalesce("g2", "g")).withColumn("s2", F.coalesce("s2", "s"))
     rate = F.when(F.col("g2") == F.col("g"), 1.0).otherwise(0.5) * F.when(F.col("s2") == F.col("s"), 1.0).otherwise(0.5)
     none = F.array().cast("array<bigint>")
@@ -295,15 +304,15 @@ def retrieve(want: DataFrame, posts: DataFrame) -> DataFrame:
     total, mean = posts.agg(F.count(F.lit(1)), F.avg(F.size("starts") + F.size("attrs"))).first()
     every = posts.select("d", F.explode(F.concat("starts", "attrs")).alias("t"))
     lists = every.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    want = want.join(lists, "t", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    want = _meet(want, lists, "t", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     want = checkpoint(want.withColumn("w", (F.col("rate") * F.ln(1 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))).cast("float")))
-    pairs = want.where("kind = 'n' and df > 0").select("q", "t").join(posts.select("d", F.explode("starts").alias("t")), "t").select("q", "d").distinct()
+    pairs = _meet(want.where("kind = 'n' and df > 0").select("q", "t"), posts.select("d", F.explode("starts").alias("t")), "t").select("q", "d").distinct()
     qs = want.groupBy("q").agg(
         F.sum(F.when(F.col("own"), F.col("w"))).alias("self"), F.max(F.when(F.col("kind") == "a", F.col("w"))).alias("author"), F.max(F.when(F.col("kind") == "f", F.col("w"))).alias("family"),
         F.map_from_entries(F.collect_list(F.when(F.col("df") > 0, F.struct("t", "w")))).alias("w"),
     )
     ds = posts.select("d", F.concat("starts", "attrs").alias("tokens"), (F.lit(K1 + 1) / (1 + F.lit(K1) * (1 - B + B * (F.size("starts") + F.size("attrs")) / F.lit(float(mean or 1))))).alias("f"))
-    scored = pairs.join(qs, "q").join(ds, "d")
+    scored = _meet(_meet(pairs, qs, "q"), ds, "d")
     score = F.col("f") * F.aggregate(F.array_intersect(F.map_keys("w"), F.col("tokens")), F.lit(0.0), lambda a, t: a + F.col("w")[t])
     return scored.select("q", "d", score.alias("score"), F.greatest("self", F.lit(1e-6)).alias("self"), F.coalesce("author", F.lit(0.0)).alias("author"), F.coalesce("family", F.lit(0.0)).alias("family"))
 
@@ -331,6 +340,25 @@ def calibrate(rows: list[tuple[float, float, bool]], weight: float = 1.0, rounds
     return tuple(float(round(b, 6)) for b in beta)
 
 
+def _below(pairs: DataFrame, share: float) -> DataFrame:
+    """The pairs whose hash h is within the lowest `share` of all hashes."""
+    return pairs.withColumn("h", F.xxhash64("q", "d")).where(F.col("h") <= min(2**63 - 1, int(share * 2.0**64) - 2**63))
+
+
+def drawn(pairs: DataFrame, count: int, sample: int) -> list[Row]:
+    """near, gap, same of the `sample` pairs of the smallest hash, or of all `count` if there are fewer.
+
+    Ranking sends `sample` rows of every task to the driver, so only hashes below a bound are ranked, within which a
+    fifth more than asked are expected; if they are fewer, the bound is doubled.
+    """
+    share = 1.2 * sample / max(count, 1)
+    while True:
+        rows = _below(pairs, share).orderBy("h", "q", "d").limit(sample).select("near", "gap", "same").collect()
+        if len(rows) >= min(sample, count):
+            return rows
+        share *= 2
+
+
 def match(taxa: DataFrame, others: DataFrame, sample: int = 10_000) -> DataFrame:
     """speciedex_id, provider, provider_id, confidence of the pairs that are the same taxon at the same rank.
 
@@ -348,9 +376,9 @@ def match(taxa: DataFrame, others: DataFrame, sample: int = 10_000) -> DataFrame
     posts = postings(t_recs)
     found = retrieve(asked(o_recs, stand), posts)
     slipped = stand.where(F.when(F.col("kind") == "G", F.col("word")).otherwise(_stem(F.col("word"))) != F.col("form"))
-    over = o_recs.select(F.col("id").alias("q"), F.explode("words").alias("word")).join(slipped, "word").groupBy("q").agg(F.collect_set(F.concat("word", F.lit(">"), "form")).alias("stands"))
-    qs = o_recs.select(F.col("id").alias("q"), F.struct(*_FIELDS).alias("qr")).join(over, "q", "left").withColumn("stands", F.coalesce("stands", F.array().cast("array<string>")))
-    full = found.join(qs, "q").join(t_recs.select(F.col("id").alias("d"), F.struct(*_FIELDS).alias("dr")), "d")
+    over = _meet(o_recs.select(F.col("id").alias("q"), F.explode("words").alias("word")), slipped, "word").groupBy("q").agg(F.collect_set(F.concat("word", F.lit(">"), "form")).alias("stands"))
+    qs = _meet(o_recs.select(F.col("id").alias("q"), F.struct(*_FIELDS).alias("qr")), over, "q", "left").withColumn("stands", F.coalesce("stands", F.array().cast("array<string>")))
+    full = _meet(_meet(found, qs, "q"), t_recs.select(F.col("id").alias("d"), F.struct(*_FIELDS).alias("dr")), "d")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -369,23 +397,26 @@ def match(taxa: DataFrame, others: DataFrame, sample: int = 10_000) -> DataFrame
     judged = checkpoint(full.mapInPandas(run, "q bigint, d bigint, near double, points int, dk string, name string, sure boolean, bare boolean"))
     best = judged.where("points > 0").groupBy("q").agg(F.max(F.struct("near", "dk", "name")).alias("best"))
     # All records of the best taxon stay, as it may be archived twice; the gap is the lead over the best other one.
-    told = judged.join(best, "q", "left").withColumn("same", F.coalesce((F.col("points") > 0) & (F.col("name") == F.col("best.name")) & ((F.col("dk") == F.col("best.dk")) | (F.col("dk") == "") | (F.col("best.dk") == "")), F.lit(False)))
+    told = _meet(judged, best, "q", "left").withColumn("same", F.coalesce((F.col("points") > 0) & (F.col("name") == F.col("best.name")) & ((F.col("dk") == F.col("best.dk")) | (F.col("dk") == "") | (F.col("best.dk") == "")), F.lit(False)))
     other = told.where("not same").groupBy("q").agg(F.max("near").alias("next"))
-    told = told.join(other, "q", "left").withColumn("gap", F.when(F.col("same"), F.col("near") - F.coalesce("next", F.lit(0.0))).otherwise(F.col("near") - F.coalesce("best.near", "next")))
+    told = _meet(told, other, "q", "left").withColumn("gap", F.when(F.col("same"), F.col("near") - F.coalesce("next", F.lit(0.0))).otherwise(F.col("near") - F.coalesce("best.near", "next")))
     told = checkpoint(told.select("q", "d", "near", "gap", "same", "sure", "points", "bare", (F.col("dk") == "").alias("no_kingdom")))
-    shown = [r for kind in ("sure and same", "points = 0") for r in told.where(kind).orderBy(F.xxhash64("q", "d"), "q", "d").limit(sample).select("near", "gap", "same").collect()]
+    kinds = ("sure and same", "points = 0")
+    counts = told.agg(*[F.count_if(F.expr(kind)) for kind in kinds]).first()
+    shown = [r for kind, n in zip(kinds, counts) for r in drawn(told.where(kind), n, sample)]
     c, by_near, by_gap = calibrate([(r.near, r.gap, r.same) for r in shown])
     good = told.where("same").withColumn("confidence", 1 / (1 + F.exp(-(F.lit(c) + F.lit(by_near) * F.col("near") + F.lit(by_gap) * F.col("gap")))))
-    pairs = checkpoint(good.select("d", "q", "near", "confidence", "bare", "no_kingdom").join(o_keys.select(F.col("id").alias("q"), "provider").distinct(), "q"))
+    pairs = checkpoint(_meet(good.select("d", "q", "near", "confidence", "bare", "no_kingdom"), o_keys.select(F.col("id").alias("q"), "provider").distinct(), "q"))
     top = pairs.groupBy("d", "provider").agg(F.max(F.struct("near", "q")).alias("top")).select(F.col("d").alias("d2"), F.col("provider").alias("p2"), F.col("top.q").alias("nearest"))
-    seen = pairs.join(top, (F.col("d") == F.col("d2")) & F.col("provider").eqNullSafe(F.col("p2"))).drop("d2", "p2")
+    seen = _meet(pairs, top, (F.col("d") == F.col("d2")) & F.col("provider").eqNullSafe(F.col("p2"))).drop("d2", "p2")
     side = o_recs.select(F.col("id"), F.struct(*_FIELDS).alias("rec"))
-    rivals = seen.where("q <> nearest and (bare or no_kingdom)").select("q", "nearest", "bare", "no_kingdom").distinct().join(side.withColumnsRenamed({"id": "q", "rec": "a"}), "q").join(side.withColumnsRenamed({"id": "nearest", "rec": "b"}), "nearest")
+    rivals = seen.where("q <> nearest and (bare or no_kingdom)").select("q", "nearest", "bare", "no_kingdom").distinct()
+    rivals = _meet(_meet(rivals, side.withColumnsRenamed({"id": "q", "rec": "a"}), "q"), side.withColumnsRenamed({"id": "nearest", "rec": "b"}), "nearest")
 
     def against(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.loc[[opposed(_plain(x), _plain(y), n, k, alike) for x, y, n, k in zip(b["a"], b["b"], b["bare"], b["no_kingdom"])], ["q", "nearest", "bare", "no_kingdom"]]
 
-    mutual = seen.join(rivals.mapInPandas(against, "q bigint, nearest bigint, bare boolean, no_kingdom boolean"), ["q", "nearest", "bare", "no_kingdom"], "left_anti").select("d", "q", F.col("provider").alias("of"), "confidence")
-    out = mutual.join(o_keys, (mutual.q == o_keys.id) & mutual.of.eqNullSafe(o_keys.provider)).drop("id").join(t_keys, F.col("d") == t_keys.id)
+    mutual = _meet(seen, rivals.mapInPandas(against, "q bigint, nearest bigint, bare boolean, no_kingdom boolean"), ["q", "nearest", "bare", "no_kingdom"], "left_anti").select("d", "q", F.col("provider").alias("of"), "confidence")
+    out = _meet(_meet(mutual, o_keys, (mutual.q == o_keys.id) & mutual.of.eqNullSafe(o_keys.provider)).drop("id"), t_keys, F.col("d") == t_keys.id)
     return out.groupBy("speciedex_id", "provider", "provider_id").agg(F.round(F.max("confidence"), 6).alias("confidence"))

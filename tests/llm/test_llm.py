@@ -304,6 +304,31 @@ def test_given_names_that_go_under_another_initial(spark):
     assert entities.given_forms(recs.limit(0)) == frozenset()
 
 
+def test_nothing_is_broadcast_on_a_guessed_size(spark, monkeypatch, tmp_path):
+    plans, cut = [], entities.checkpoint
+
+    def plan(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(entities, "checkpoint", lambda df: cut(plan(df)))
+    taxa = spark.createDataFrame([("s1", "Velmarothus grandiceps", None, "species", "Dick Smith", "Borvidae", "Animalia")], "speciedex_id string, " + COLUMNS)
+    others = spark.createDataFrame([("p", "1", "Velmarotus grandiceps", None, "species", "Smith", "Borvidae", "")], "provider string, provider_id string, " + COLUMNS)
+    for name, df in (("taxa", taxa), ("others", others)):
+        df.write.parquet(str(tmp_path / name))
+    found = entities.match(spark.read.parquet(str(tmp_path / "taxa")), spark.read.parquet(str(tmp_path / "others")))
+    assert [r.speciedex_id for r in plan(found).collect()] == ["s1"]
+    assert sum("SortMergeJoin" in p for p in plans) > 4 and not [p for p in plans if "Broadcast" in p]
+
+
+@pytest.mark.parametrize("rows", [0, 3, 20, 5000])
+def test_a_sample_is_cut_by_hash_before_it_is_ranked(spark, rows):
+    pairs = spark.range(rows, numPartitions=16).select(F.col("id").alias("q"), (F.col("id") * 7).alias("d"), F.rand(1).alias("near"), F.rand(2).alias("gap"), (F.col("id") % 2 == 0).alias("same")).cache()
+    want = [tuple(r) for r in pairs.orderBy(F.xxhash64("q", "d"), "q", "d").limit(20).select("near", "gap", "same").collect()]
+    assert [tuple(r) for r in entities.drawn(pairs, rows, 20)] == want
+    assert entities._below(pairs, 1.2 * 20 / max(rows, 1)).count() <= 60
+
+
 def test_calibration_orders_and_falls_back():
     assert entities.calibrate([]) == entities.PRIOR
     rng = random.Random(1)
